@@ -3,7 +3,8 @@
 A text's set is its distinct word shingles. If two sets of sizes x and y reach the Jaccard threshold t, they share at least
 t * max(x, y) shingles; so under any one global order of all shingles, the first x - ceil(t * x) + 1 of one set and the first
 y - ceil(t * y) + 1 of the other have one in common. That holds for every order, so a linked pair must share prefix shingles
-under each of several different orders at once. Every order puts shingles that many documents share last.
+under each of several different orders at once. Every order puts shingles of fewer sets first, by exact counts over all
+texts, and differs from the others among equal counts. A shingle of one set only can be shared by none and is not sent on.
 
 Pairs are never listed. Under the first order, sets with a prefix shingle in common are joined into blocks (to the smallest
 set of the shingle's list, so a list of a million sets costs a million rows); each further order splits every block the
@@ -22,88 +23,109 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, discard, pieces, settle
+from .common import as_bytes, discard, pieces, settle
+from .packed_counts import MIX, chunks, counts_packed, counts_unpacked, mixed, packed, ranges, totals, unpacked, word_hashes
 
-#: Up to this many rows of two numbers each are broadcast (some 100 MB at most); more are joined by a shuffle.
+#: Up to this many rows of two or three numbers each are broadcast (some 100 MB at most); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Up to this many shingles are held as frequent; there cannot be more than the mean set size over `share`.
-FREQUENT_ROWS = 2_000_000
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-def word_cache(size: int = 150_000) -> Cache:
-    return Cache(lambda ws: [xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in ws], size)
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes, all in a row, and where each text's begin, with the end.
 
-
-def mixed(x: np.ndarray, by: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
-        return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: bytes, cache: Cache, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; fewer words than that are one shingle, none give the empty set."""
-    own = text.lower().split()
-    if not own:
-        return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(map(cache.lookup(own).__getitem__, own)), "<u8")
-    if len(own) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(own))], np.uint64)
-    out = np.zeros(len(h) - words + 1, np.uint64)
+    Fewer words than `words` are one shingle, none give the empty set.
+    """
+    h, n = word_hashes(texts)
+    first = np.concatenate([[0], np.cumsum(n)])
+    size = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    own = np.repeat(np.arange(len(texts)), size)
+    at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(words):
-            out = mixed(out + h[i : len(h) - words + 1 + i], MIX[0])
-    return np.unique(out)
+            inside = at + i < first[own + 1]
+            word = h[np.minimum(at + i, len(h) - 1)] if len(h) else h
+            out = np.where(inside, mixed(out + word, MIX[1]), out)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
+    return out[new], np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(texts)))]).astype(int)
 
 
 def class_of(s: np.ndarray) -> int:
-    """A number for a set: equal sets, and only they, have the same."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
+    """A number for a set: equal sets have the same, others differ but for one chance in 2**63."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def classes(sets: np.ndarray, cuts: np.ndarray) -> list[int | None]:
+    return [class_of(sets[a:b]) if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def prefix_size(n: int, percent: int) -> int:
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-class Orders:
-    """Global orders of all shingles: rarer before more frequent, and a different hash in each among the equally frequent."""
+REQUEST = "range int, chunk long, keys binary, n binary"
+REPLY = "chunk long, range int, n binary"
 
-    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
-        self.keys, self.ranks = keys, ranks
 
-    def prefix(self, s: np.ndarray, order: int, percent: int) -> np.ndarray:
-        code = mixed(s, MIX[1 + order]) >> np.uint64(8)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-            code |= np.where(self.keys[at] == s, self.ranks[at], 0).astype(np.uint64) << np.uint64(56)
-        p = prefix_size(len(s), percent)
-        return np.partition(code, p - 1)[:p].view(np.int64) if p < len(s) else code.view(np.int64)
+def distinct_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, list[int | None], np.ndarray]:
+    """Sets and cuts of a chunk's texts, their classes, and which shingles belong to the first text of their class."""
+    sets, cuts = shingle_sets(as_bytes(table.column("text")), words)
+    names = classes(sets, cuts)
+    seen: set = set()
+    new = np.array([c is not None and c not in seen and not seen.add(c) for c in names], bool)
+    return sets, cuts, names, np.repeat(new, np.diff(cuts))
 
 
-def frequent(docs: DataFrame, text: str, words: int, share: float) -> Orders:
-    """Ranks of the shingles that at least `share` of all documents hold, counted over all texts.
+def requests(words: int, bits: int, many: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets, _, _, new = distinct_sets(table, words)
+        keys, n = np.unique(sets[new] >> np.uint64(64 - bits), return_counts=True)
+        chunk, cuts = table.column("chunk")[0].as_py(), ranges(keys, bits, many)
+        own = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return pa.table({"range": pa.array([i for i, _, _ in own], pa.int32()), "chunk": pa.array([chunk] * len(own), pa.int64()), "keys": pa.array([packed(keys[a:b]) for _, a, b in own], pa.binary()), "n": pa.array([counts_packed(n[a:b]) for _, a, b in own], pa.binary())})
 
-    A task reports a shingle with its count if it is in that share of the task's documents (and in three); what is in the
-    share of all documents is so in at least one task. The ranks only order, so a count that misses tasks below their
-    share costs no pair.
-    """
+    return run
+
+
+def replies(table: pa.Table) -> pa.Table:
+    keys = [unpacked(k) for k in table.column("keys").to_pylist()]
+    _, place, (n,) = totals(keys, [counts_unpacked(k) for k in table.column("n").to_pylist()])
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "n": pa.array([counts_packed(n[own]) for own in np.split(place, cuts)], pa.binary())})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
-        for batch in batches:
-            for part in pieces(batch, 0, 16 << 20):
-                sets = [shingles(t, cache, words) for t in as_bytes(part.column(0))]
-                held, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(3, share * len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(held[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
 
-    least = max(8, int(share * docs.count()))
-    rows = docs.select(F.col(text)).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(FREQUENT_ROWS).toArrow()
-    keys, n = (rows.column(c).to_numpy() for c in ("shingle", "n"))
-    keys = keys.astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Orders(keys[order], np.minimum(127, 1 + 4 * np.log2(n[order].astype(float) / least + 1)).astype(np.uint64))
+def prefixes(words: int, bits: int, percent: int, orders: int):
+    """Per text: key, set size, class, and by order the prefix shingles that other sets may have."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"key": table.column("key"), "n": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "prefixes": pa.array([], pa.list_(pa.list_(pa.int64())))})
+        sets, cuts, names, new = distinct_sets(table, words)
+        short = sets >> np.uint64(64 - bits)
+        keys = np.unique(short[new])
+        given = sorted(answers.select(["range", "n"]).to_pylist(), key=lambda r: r["range"])
+        counts = np.concatenate([np.empty(0, np.int64), *(counts_unpacked(r["n"]) for r in given)])
+        if len(counts) != len(keys):
+            raise RuntimeError("the answers do not fit the chunk")
+        df = counts[np.searchsorted(keys, short)]
+        size = np.diff(cuts)
+        shared = np.concatenate([[0], np.cumsum(df > 1)])[cuts]
+        most = prefix_size(size, percent) - (size - np.diff(shared))  # of the prefix, what is left for shared shingles
+        out: list = []
+        for i in range(len(size)):
+            if size[i] == 0 or most[i] <= 0:
+                out.append([[]] * orders)
+                continue
+            own = slice(cuts[i], cuts[i + 1])
+            s, n = sets[own][df[own] > 1], df[own][df[own] > 1]
+            out.append([s[np.lexsort((mixed(s, MIX[k]), n))[: most[i]]].view(np.int64) for k in range(orders)])
+        return pa.table({"key": table.column("key"), "n": pa.array(size, pa.int64()), "class": pa.array(names, pa.int64()), "prefixes": pa.array(out, pa.list_(pa.list_(pa.int64())))})
+
+    return run
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -169,18 +191,18 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = new
 
 
-def verified(candidates: DataFrame, percent: int, tile: int) -> DataFrame:
-    """a, b: links that join the sets of each block of `candidates` (class, block, set) as all of its links do."""
-    n = settle(candidates.groupBy("block").agg(F.count("*").alias("m"), F.sum(F.octet_length("set")).alias("bytes")))
-    total = n.agg(F.sum("bytes")).first()[0] or 0
-    spread = max(1, total // (4 << 20))
+def verified(candidates: DataFrame, sizes: DataFrame, total: int, percent: int, tile: int) -> DataFrame:
+    """a, b: links that join the sets of each block of `candidates` (class, block, set) as all of its links do.
+
+    `sizes` has the number of sets of each block as `m`, `total` is the number of shingles of all of them.
+    """
+    spread = max(1, total * 8 // (8 << 20))
     # small blocks share a task's group, large ones are dealt into tiles that meet two by two
-    known = candidates.join(small_side(n.drop("bytes")), "block").withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
+    known = candidates.join(small_side(sizes), "block").withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
     mine = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
-    alone = known.where("tiles = 1").select(F.pmod(F.xxhash64("block"), F.lit(spread)).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), "block", "class", "set")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    met = known.where("tiles > 1").withColumn("mine", mine).withColumn("other", other)
-    met = met.select(F.col("block").alias("unit"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "block", "class", "set")
+    alone = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(spread))).otherwise(F.col("block"))
+    met = known.withColumn("unit", alone).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("unit", (F.col("tiles") > 1).alias("large"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "block", "class", "set")
 
     def check(group: pa.Table) -> pa.Table:
         block, cls = group.column("block").to_numpy(), group.column("class").to_numpy()
@@ -198,10 +220,10 @@ def verified(candidates: DataFrame, percent: int, tile: int) -> DataFrame:
         none = np.empty(0, np.int64)
         return pa.table({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
 
-    return alone.unionByName(met).groupBy("unit", "i", "j").applyInArrow(check, "a long, b long")
+    return met.groupBy("unit", "large", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, orders: int = 3, share: float = 1 / 4000, tile: int = 768) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, orders: int = 3, tile: int = 768, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per row: key, n_shingles (its set's size) and component_id, the smallest key reachable by links, its own included.
 
     Two rows link if the Jaccard similarity of their sets is at least `percent` / 100, computed in integers. Words are
@@ -212,55 +234,38 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """
     if not 1 <= orders <= 4:
         raise ValueError("one to four orders")
-    ranks = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, words, share))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
-        for batch in batches:
-            for part in pieces(batch, 1):
-                sets = [shingles(t, cache, words) for t in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([ranks.value.prefix(s, 0, percent) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["key", "n", "class", "prefix"],
-                )
-
+    many, chunk = chunks(docs, text, chunk_bytes, F.col(key))
+    # keys short enough to pack well and long enough that few shingles share one; they only order, sets stay exact
+    bits = min(56, (many * chunk_bytes // 4).bit_length() + 6)
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), chunk.alias("chunk"))
     kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = settle(plain.mapInArrow(first, f"key {kind}, n long, class long, prefix array<long>"))
-    once = rows.where("class is not null").select("class", "prefix").dropDuplicates(["class"])
-    start = blocks(once.select("class", F.lit(0).cast("long").alias("block"), F.explode("prefix").alias("token")))
+    asked = plain.select("chunk", "text").groupBy("chunk").applyInArrow(requests(words, bits, many), REQUEST)
+    answers = asked.groupBy("range").applyInArrow(replies, REPLY)
+    both = plain.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    rows = settle(both.applyInArrow(prefixes(words, bits, percent, orders), f"key {kind}, n long, class long, prefixes array<array<long>>"))
+
+    sets = rows.where("class is not null and size(prefixes[0]) > 0").select("class", "prefixes").dropDuplicates(["class"])
+    block = sets.select("class", F.lit(0).cast("long").alias("block"))
+    for k in range(orders):
+        tokens = sets.select("class", F.explode(F.col("prefixes")[k]).alias("token"))
+        block = blocks(tokens.withColumn("block", F.lit(0).cast("long")) if k == 0 else tokens.join(small_side(block), "class"))
+    sizes = settle(block.groupBy("block").agg(F.count("*").alias("m")))
 
     # the sets that are left, read from one text each
-    asked = rows.select("key", "class").join(small_side(start), "class").groupBy("class").agg(F.min("key").alias("key")).select("key").distinct()
-    asked = small_side(settle(asked))
-    again = plain.join(asked, "key", "left_semi").unionByName(plain.where(F.col("key").isNull()))
+    chosen = settle(rows.join(small_side(block), "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n")))
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    asked_keys = small_side(chosen.select("key").distinct())
+    texts = plain.join(asked_keys, "key", "left_semi").unionByName(plain.where(F.col("key").isNull()))
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 0):
-                sets = [s for t in as_bytes(part.column(0)) if len(s := shingles(t, cache, words))]
-                found = [[ranks.value.prefix(s, k, percent) for k in range(1, orders)] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array(found, pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["class", "set", "prefixes"],
-                )
-
-    left = settle(again.select("text").mapInArrow(rest, "class long, set binary, prefixes array<array<long>>").dropDuplicates(["class"]).join(start, "class"))
-    block = left.select("class", "block")
-    for k in range(orders - 1):
-        tokens = left.select("class", F.explode(F.col("prefixes")[k]).alias("token")).join(block, "class")
-        block = blocks(tokens)
-    links = verified(left.select("class", "set").join(block, "class"), percent, tile)
+                flat, cuts = shingle_sets(as_bytes(part.column(0)), words)
+                own = [(c, flat[a:b].tobytes()) for c, a, b in zip(classes(flat, cuts), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if c is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["class", "set"])
+
+    found = texts.select("text").mapInArrow(read, "class long, set binary").join(small_side(block), "class").dropDuplicates(["class"])
+    links = verified(found, sizes, total, percent, tile)
     label = components(links).select(F.col("node").alias("class"), "label")
 
     named = rows.select("key", "n", "class").join(label, "class", "left").withColumn("group", F.coalesce("label", "class"))
