@@ -83,10 +83,11 @@ class Cache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def lookup(self, words: Iterable[bytes]) -> dict:
-        """A dictionary that holds every one of `words`."""
+    def lookup(self, words: Iterable) -> dict:
+        """A dictionary that holds every one of `words`. Best called with the words of many texts at once."""
         here = self.young
-        missing = {w for w in words if w not in here}
+        words = words if isinstance(words, set) else set(words)
+        missing = words.difference(here)
         if not missing:
             return here
         unknown, known = [], {}
@@ -104,8 +105,8 @@ class Cache:
             here.update((w, r) for w, r in known.items() if len(w) <= self.longest)
             if all(len(w) <= self.longest for w in known):
                 return here
-            return {**{w: here[w] for w in words if w in here}, **known}
-        out = {**{w: here[w] for w in words if w in here}, **known}
+            return {**{w: here[w] for w in words - missing}, **known}
+        out = {**{w: here[w] for w in words - missing}, **known}
         self.old = here
         self.young = {w: r for w, r in out.items() if len(w) <= self.longest}
         return out

@@ -13,12 +13,13 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, widened
+from .common import Cache, as_bytes, pieces, widened
 
 UNIT = re.compile(rb" *[^ ]+| +$")
 SPECIAL = b"\xe2\x96\x81"  # the mark that stands for a space inside pieces
@@ -109,11 +110,10 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", count: st
         cache = Cache(counter(load_model(model_path)), cache_size + len(frequent))
         cache.young.update(frequent)
         cache.fixed = frequent
-        for batch in batches:
-            counts = []
-            for t in as_bytes(batch.column(at)):
-                u = units(t)
-                counts.append(sum(map(cache.lookup(u).__getitem__, u)))
+        for batch in (part for whole in batches for part in pieces(whole, at, 2 << 20)):
+            lists = [units(t) for t in as_bytes(batch.column(at))]
+            table = cache.lookup(set(chain.from_iterable(lists)))
+            counts = [sum(map(table.__getitem__, u)) for u in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*rest, count])
 
     return plain.mapInArrow(run, schema)
