@@ -5,10 +5,8 @@ count c(v): none, 1, 2-3, 4-7 and so on. They are learned by expectation-maximis
 deleted from the counts, and its tokens, seen from the counts of the rest, say how far each estimate can be trusted. For
 scoring, the deleted part's counts are put back.
 
-Counts are exact and cover all training texts, which makes most n-grams unique; so no n-gram is ever shuffled alone.
-Documents are dealt into chunks by a hash. A chunk sorts its distinct n-gram hashes, cuts them into ranges and sends each
-range as one packed row that holds the keys and their counts in the chunk. The task of a range merges the rows of all
-chunks and answers each with the totals, in the order of its keys. A frequent n-gram counts once per chunk, so none is hot.
+Counts are exact and cover all training texts. Most n-grams are unique, so they are counted in packed rows: see
+`packed_counts`. A chunk asks for the totals of its words and bigrams, and then scores its documents with the answers.
 """
 
 from __future__ import annotations
@@ -17,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, settle
+from .common import as_bytes, discard, settle
+from .packed_counts import MIX, chunks, counts_packed, counts_unpacked, mixed, packed, ranges, totals, unpacked, word_hashes
 
-END, START = b"", b" "  # no word is empty or a space
+#: Keys of the end of a text and of the place before its first word.
+END, START = np.uint64(0x0E0D), np.uint64(0x57A7)
 #: Context-count buckets 0, 1, 2-3, 4-7, ..., the last one open.
 BUCKETS = 24
 #: Histogram of the EM step: steps per power of ten of a probability, and the number of steps.
@@ -33,85 +31,44 @@ STEPS, CELLS = 8, 128
 DELETED = 8
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """A-Z lower-cased, split at the six ASCII white-space characters; one end token follows."""
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
-def hashed(cache: Cache, words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(cache.lookup(words).__getitem__, words)), "<u8")
-
-
-def hash_cache(size: int) -> Cache:
-    return Cache(lambda ws: [xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in ws], size)
-
-
-def bigrams(h: np.ndarray) -> np.ndarray:
-    """56-bit keys of (previous, word), the start before the first word."""
-    before = np.concatenate([np.array([xxhash.xxh3_64_intdigest(START)], "<u8"), h[:-1]])
+def chunk_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words, and an end after each text), 56-bit keys of (previous, token), and each text's length."""
+    words, n = word_hashes(texts)
+    ends = np.cumsum(n + 1) - 1
+    h = np.empty(len(words) + len(n), np.uint64)
+    is_word = np.ones(len(h), bool)
+    is_word[ends] = False
+    h[is_word] = words
+    h[ends] = END
+    before = np.concatenate([[START], h[:-1]]).astype(np.uint64)
+    before[ends[:-1] + 1] = START
     with np.errstate(over="ignore"):
-        x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (h + np.uint64(0xD6E8FEB86659FD93))
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, split into byte planes."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def small(counts: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def counted(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-
-
-def ranges(keys: np.ndarray, bits: int, many: int) -> np.ndarray:
-    """Where each of `many` equal key ranges begins in the sorted keys, and the end."""
-    edges = [(i << bits) // many for i in range(1, many)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(int)
-
-
-def chunk_tokens(texts: list[bytes], cache: Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' hashes, all bigrams' keys, and the number of tokens of each text."""
-    each = [hashed(cache, words_of(t)) for t in texts]
-    return np.concatenate(each), np.concatenate([bigrams(h) for h in each]), np.array([len(h) for h in each])
+        pairs = mixed(mixed(before, MIX[1]) + h, MIX[2]) >> np.uint64(8)
+    return h, pairs, n + 1
 
 
-START_KEY = np.uint64(xxhash.xxh3_64_intdigest(START))
 REQUEST = "range int, chunk long, size int, keys binary, kept binary, cut binary"
 REPLY = "chunk long, size int, range int, counts binary, tokens long, types long, kept_tokens long"
 
 
-def requests(many: int, cache_size: int):
+def requests(many: int):
     """What a chunk asks for: for words and bigrams (`size` 1 and 2), sorted keys by range with their counts in the chunk
     in training texts that are kept and that are deleted for EM. Chunks of EM only ask."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        h, pairs, lengths = chunk_tokens(as_bytes(table.column("text")), hash_cache(cache_size))
+        h, pairs, lengths = chunk_tokens(as_bytes(table.column("text")))
         role = np.array(table.column("role").to_pylist(), np.int8)  # 0: not in training, 1: kept, 2: deleted
         out: dict[str, list] = {x.split(" ")[0]: [] for x in REQUEST.split(", ")}
         token_role = np.repeat(role, lengths)
         for size, bits in ((1, 64), (2, 56)):
-            keys, roles = (np.append(h, np.full(len(role), START_KEY)), np.append(token_role, role)) if size == 1 else (pairs, token_role)
+            keys, roles = (np.append(h, np.full(len(role), START)), np.append(token_role, role)) if size == 1 else (pairs, token_role)
             unique, place = np.unique(keys, return_inverse=True)
             kept, cut = (np.bincount(place[roles == r], minlength=len(unique)) if chunk >= 0 else np.zeros(len(unique), int) for r in (1, 2))
             cuts = ranges(unique, bits, many)
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    for k, v in zip(out, (i, chunk, size, packed(unique[a:b]), small(kept[a:b]), small(cut[a:b])), strict=True):
+                    for k, v in zip(out, (i, chunk, size, packed(unique[a:b]), counts_packed(kept[a:b]), counts_packed(cut[a:b])), strict=True):
                         out[k].append(v)
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
@@ -129,29 +86,28 @@ def replies(table: pa.Table) -> pa.Table:
         if not own:
             continue
         keys = [unpacked(r["keys"]) for r in own]
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        kept = np.bincount(place, np.concatenate([counted(r["kept"]) for r in own]), len(unique)).astype(np.int64)
-        both = kept + np.bincount(place, np.concatenate([counted(r["cut"]) for r in own]), len(unique)).astype(np.int64)
+        unique, place, (kept, cut) = totals(keys, [counts_unpacked(r["kept"]) for r in own], [counts_unpacked(r["cut"]) for r in own])
+        both = kept + cut
         at = 0
         for r, k in zip(own, keys, strict=True):
             found = place[at : at + len(k)]
-            out.append((r["chunk"], size, r["range"], small((kept if r["chunk"] < 0 else both)[found]), None, None, None))
+            out.append((r["chunk"], size, r["range"], counts_packed((kept if r["chunk"] < 0 else both)[found]), None, None, None))
             at += len(k)
         if size == 1:
-            words = unique != START_KEY
+            words = unique != START
             out.append((None, 0, own[0]["range"], None, int(both[words].sum()), int((both[words] > 0).sum()), int(kept[words].sum())))
     names = [x.split(" ")[0] for x in REPLY.split(", ")]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
 
-def token_counts(docs: pa.Table, answers: pa.Table, cache_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_counts(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every token of a chunk: its count, its context's and the bigram's; and the texts' numbers of tokens."""
-    h, pairs, lengths = chunk_tokens(as_bytes(docs.column("text")), hash_cache(cache_size))
+    h, pairs, lengths = chunk_tokens(as_bytes(docs.column("text")))
     by_size: dict[int, list] = {1: [], 2: []}
     for r in sorted(answers.select(["size", "range", "counts"]).to_pylist(), key=lambda r: (r["size"], r["range"])):
-        by_size[r["size"]].append(counted(r["counts"]))
-    unique, place = np.unique(np.append(h, START_KEY), return_inverse=True)
+        by_size[r["size"]].append(counts_unpacked(r["counts"]))
+    unique, place = np.unique(np.append(h, START), return_inverse=True)
     words = np.concatenate(by_size[1])
     if len(words) != len(unique):
         raise RuntimeError("the answers do not fit the chunk")
@@ -195,7 +151,7 @@ def learn(cells: list[tuple[int, int, float, float]], uniform: float, rounds: in
     return out
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20, cache_size: int = 150_000) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from the rows where `training` holds. A null or empty text is one end token. A row without a key is in training
@@ -204,14 +160,12 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     the log10 probability under the model, `base_score` under add-one unigrams.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    many = max(1, -(-size // chunk_bytes))
-    h = F.xxhash64(F.col(key), F.col(text))
+    many, chunk = chunks(docs, text, chunk_bytes, F.col(key))
     learns = F.coalesce(training, F.lit(False))
     deleted = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(DELETED)) == 0
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(~learns, 0).when(deleted, 2).otherwise(1).cast("tinyint").alias("role"), F.pmod(h, F.lit(many)).alias("chunk"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(~learns, 0).when(deleted, 2).otherwise(1).cast("tinyint").alias("role"), chunk.alias("chunk"))
     em_rows = rows.where("role = 2").withColumn("chunk", -1 - F.pmod(F.xxhash64("chunk", "key"), F.lit(max(1, -(-many // DELETED)))))
-    asked = rows.unionByName(em_rows).select("chunk", "text", "role").groupBy("chunk").applyInArrow(requests(many, cache_size), REQUEST)
+    asked = rows.unionByName(em_rows).select("chunk", "text", "role").groupBy("chunk").applyInArrow(requests(many), REQUEST)
     answers = settle(asked.groupBy("range").applyInArrow(replies, REPLY))
     sums = answers.where("chunk is null").agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first()
     tokens, types, kept_tokens = (int(x or 0) for x in sums)
@@ -220,7 +174,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     def histogram(own: pa.Table, found: pa.Table) -> pa.Table:
         out = {"bucket": [], "cell": [], "n": [], "log2": [], "log1": []}
         if own.num_rows:
-            c1, context, c2, _ = token_counts(own, found, cache_size)
+            c1, context, c2, _ = token_counts(own, found)
             p2, p1 = estimates(c1, context, c2, kept_tokens)
             step = lambda p: np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, CELLS - 2), CELLS - 1).astype(int)
             code, place = np.unique((bucket_of(context) * CELLS + step(p2)) * CELLS + step(p1), return_inverse=True)
@@ -239,7 +193,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
     def scored(own: pa.Table, given: pa.Table) -> pa.Table:
         if own.num_rows:
-            c1, context, c2, lengths = token_counts(own, given, cache_size)
+            c1, context, c2, lengths = token_counts(own, given)
             p2, p1 = estimates(c1, context, c2, tokens)
             w = weights.value[bucket_of(context)]
             model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform)
