@@ -44,4 +44,4 @@ def relationships(docs: DataFrame) -> DataFrame:
 def unreadable(docs: DataFrame) -> DataFrame:
     """Failed reports of files that did not parse."""
     bad = docs.where(F.col("_corrupt_record").isNotNull())
-    return bad.select(F.lit("graph_shaped_json_validation").alias("validation_type"), F.lit(False).alias("passed"), F.substring("_corrupt_record", 1, 200).alias("error"))
+    return bad.select("document_id", F.lit("graph_shaped_json_validation").alias("validation_type"), F.lit(False).alias("passed"), F.substring("_corrupt_record", 1, 200).alias("error"))

@@ -17,9 +17,9 @@ def page_texts(raw: DataFrame) -> DataFrame:
     return raw.select("source_file", F.col("page_number").cast("int").alias("page_number"), text.alias("text"), F.length(text).alias("char_count"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of documents of one JSON object per file. A missing path, and JSON that does not parse, raise."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of documents of one JSON object per file, or per line. A missing path, and JSON that does not parse, raise."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     page = docs.select("source_file", F.explode("pages").alias("p"))
     return page.select("source_file", "p.page_number", F.coalesce("p.text", F.lit("")).alias("text"), F.coalesce("p.char_count", F.length("p.text"), F.lit(0)).alias("char_count"))
 
