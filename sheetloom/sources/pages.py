@@ -47,3 +47,16 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
 def extraction_summary(pages: DataFrame) -> DataFrame:
     empty = F.col("char_count") == 0
     return pages.groupBy("source_file").agg(F.count("*").alias("page_count"), F.sum("char_count").alias("total_chars"), F.sort_array(F.collect_list(F.when(empty, F.col("page_number")))).alias("empty_pages"))
+
+
+def read_nested(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Rows of nested documents: source_file and the fields of each of its `pages`, as `schema` gives them."""
+    whole = f"source_file string, pages array<struct<{', '.join(f.replace(' ', ':', 1) for f in schema.split(', '))}>>"
+    docs = spark.read.schema(whole).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    return docs.select("source_file", F.explode("pages").alias("p")).select("source_file", "p.*")
+
+
+#: Fields of a page in score and comparison documents.
+RULE_SCORES = "page_number int, score double, relevance_level string, char_count int, matched_terms array<string>, matched_categories array<string>, positive_reasons array<string>, negative_reasons array<string>"
+MODEL_SCORES = "page_number int, score double, relevance_level string, char_count int, useful_for_extraction boolean, likely_content_type string, extraction_targets_found array<string>, reasoning string"
+COMPARISON = "page_number int, rule_based_score double, rule_based_level string, rule_based_selected boolean, rule_based_rank int, llm_score double, llm_level string, llm_selected boolean, llm_rank int, llm_useful_for_extraction boolean, llm_likely_content_type string, agreement_on_level boolean, agreement_on_selection boolean"

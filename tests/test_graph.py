@@ -199,3 +199,45 @@ def test_target_files(tmp_path):
     good.write_text("[]")
     with pytest.raises(ValueError):
         targets.load_expected(str(good))
+
+
+def test_sql_texts_equal_the_plans(spark, tmp_path):
+    from sheetloom.operators import question_texts
+
+    doc = sensor()
+    doc["relationships"] = [r for r in doc["relationships"] if r["type"] != "HAS_UNIT"]
+    nodes, edges, _ = loaded(spark, tmp_path, doc)
+    g = graph.Views.of(nodes, edges)
+    question_texts.register(g)
+    assert set(question_texts.TEXTS) == set(questions.CQS) | set(questions.SCHEMA_CHECKS)
+    for name, text in question_texts.TEXTS.items():
+        plan = (questions.CQS | questions.SCHEMA_CHECKS)[name](g)
+        assert checks.same_rows(checks.run_read_only(spark, text), plan), name
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sheetloom import __main__ as cli
+    from sheetloom.sources import pages
+
+    (tmp_path / "d.json").write_text(json.dumps(sensor()))
+    pages_doc = {"source_file": "f", "page_count": 1, "extraction_method": "pypdf", "pages": [{"page_number": 1, "text": "FEATURES\nof it", "char_count": 14}]}
+    (tmp_path / "p.json").write_text(json.dumps(pages_doc))
+    rows = {"cq2": [{"equipment_id": "dev", "product_model": "S1", "raw_equipment_type": "Sensor", "parameter_id": p, "raw_label": l, "value": v, "value_type": k, "normalized_parameter_type": t, "parameter_display_name": d, "parameter_category": c, "unit": u, "unit_name": n} for p, l, v, k, t, d, c, u, n in [("p1", "Peak", 570, "number", "PeakSensitivityWavelength", "Peak sensitivity wavelength", "optical", "nm", "nanometre"), ("p2", "Model", "S1", "string", "ProductModel", "Product model", "identification", None, None)]]}
+    (tmp_path / "e.json").write_text(json.dumps(rows))
+    (tmp_path / "t.json").write_text(json.dumps({"checks": [{"check_id": "cq2_technical_parameters", "expected_result_key": "cq2"}]}))
+    t = str(tmp_path)
+    cli.main(["check", "--input", f"{t}/d.json", "--targets", f"{t}/t.json", "--expected", f"{t}/e.json", "--output", f"{t}/report"])
+    assert spark.read.json(f"{t}/report").first().passed is True
+    cli.main(["load", "--input", f"{t}/d.json", "--output", f"{t}/graph"])
+    assert spark.read.parquet(f"{t}/graph/nodes").count() == 46
+    cli.main(["validate", "--input", f"{t}/d.json"])
+    cli.main(["score", "--input", f"{t}/p.json", "--output", f"{t}/rule"])
+    cli.main(["layout", "--input", f"{t}/p.json", "--output", f"{t}/blocks"])
+    assert spark.read.json(f"{t}/blocks").first().page_count == 1
+    model = pages.read_nested(spark, f"{t}/rule", pages.RULE_SCORES, lines=True).withColumn("useful_for_extraction", F.lit(True))
+    from sheetloom.sources import sinks
+
+    sinks.write_json(sinks.score_document(model, "model", "m"), f"{t}/model")
+    cli.main(["compare", "--rule", f"{t}/rule", "--llm", f"{t}/model", "--lines", "--output", f"{t}/compared"])
+    cli.main(["select", "--input", f"{t}/compared", "--lines", "--strategy", "union", "--output", f"{t}/selected"])
+    assert spark.read.json(f"{t}/selected").first().summary.page_count == 1
