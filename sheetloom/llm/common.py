@@ -90,23 +90,19 @@ class Cache:
         missing = words.difference(here)
         if not missing:
             return here
-        unknown, known = [], {}
-        for w in missing:
-            r = self.fixed.get(w)
-            if r is None:
-                r = self.old.get(w)
-            if r is None:
-                unknown.append(w)
-            else:
-                known[w] = r
-        if unknown:
-            known.update(zip(unknown, self.encode(unknown), strict=True))
-        if len(here) + len(known) <= self.most:
-            here.update((w, r) for w, r in known.items() if len(w) <= self.longest)
-            if all(len(w) <= self.longest for w in known):
-                return here
-            return {**{w: here[w] for w in words - missing}, **known}
-        out = {**{w: here[w] for w in words - missing}, **known}
+        found = {}
+        for tier in (self.fixed, self.old):
+            if tier and missing:
+                rest = missing.difference(tier)
+                found.update((w, tier[w]) for w in missing.difference(rest))
+                missing = rest
+        unknown = list(missing)
+        found.update(zip(unknown, self.encode(unknown), strict=True))
+        kept = found if max(map(len, found)) <= self.longest else {w: r for w, r in found.items() if len(w) <= self.longest}
+        if len(here) + len(kept) <= self.most:
+            here.update(kept)
+            return here if kept is found else {**{w: here[w] for w in words.difference(found)}, **found}
+        out = {**{w: here[w] for w in words.difference(found)}, **found}
         self.old = here
-        self.young = {w: r for w, r in out.items() if len(w) <= self.longest}
+        self.young = out if kept is found else {w: r for w, r in out.items() if len(w) <= self.longest}
         return out
