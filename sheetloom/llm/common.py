@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's `spark.checkpoint.dir`. One is made only where that is unset
-    (tests, a single machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """The folder that all executors share: the session's `spark.checkpoint.dir`. One is made only where that is unset and
+    everything runs in one process (tests, a single machine); on a cluster an unset folder raises."""
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return folder
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return own_folder()
 
 
 @functools.cache

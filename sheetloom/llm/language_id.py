@@ -75,7 +75,7 @@ class Model:
 
     def predict(self, words: list[str], table: dict[str, bytes]) -> tuple[str, float]:
         """Best language, ties to the first by name, and its share of the probability."""
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         sums = np.frombuffer(b"".join(map(table.__getitem__, words)), np.float32).reshape(len(words), -1).sum(axis=0, dtype=np.float64)
         best = int(np.argmax(sums))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Shares of the lists that are read, step by step.
 DEPTHS = (0.25, 0.5, 0.75, 1.0)
+LONGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -82,7 +83,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, lists: Lists, k: int) ->
         done = ~(alive & (lower != upper)).any(axis=1)
         for at in np.flatnonzero(done):
             c = np.flatnonzero(alive[at])
-            order = np.lexsort((lists.ids[c], -upper[at, c]))[:k]
+            order = sorted(range(len(c)), key=lambda i: (-upper[at, c[i]], lists.ids[c[i]]))[:k] if upper.dtype == object else np.lexsort((lists.ids[c], -upper[at, c]))[:k]
             yield int(left[at]), lists.ids[c[order]], upper[at, c[order]]
         left = left[~done]
         if not len(left):
@@ -96,7 +97,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an identifier; a query
     is compared with vectors of its own length. Rows with a query's identifier are its own. An identifier that is repeated
     is ranked once for each row. Fewer candidates than k give all of them; without queries or candidates there are no rows.
-    Inner products of 2**53 or more raise. Every block of queries meets every block of candidates once, in a task of its own.
+    Scaled components and scores beyond 64 bits are held at the ends of that range. Every block of queries meets every block of candidates once, in a task of its own.
     """
     all_rows, asked = quantised(vectors, key, vector, scale), quantised(queries, key, vector, scale).dropDuplicates(["id"])
     right, _ = blocks(all_rows, candidate_block, 1)
@@ -110,12 +111,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
             for r in batch.itertuples():
                 q = np.frombuffer(r.values, "<i8").reshape(r.n, -1)
                 c = np.frombuffer(r.cv, "<i8").reshape(r.cn, -1)
-                if q.shape[1] and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2.0**53:
-                    raise OverflowError("inner products of 2**53 or more")
+                # doubles hold integers below 2**53 exactly; beyond, sums are taken in Python's integers
+                most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(q.shape[1], 1)
+                kind = np.float64 if most < 2.0**53 else object
                 ids = np.frombuffer(r.ids, "<i8")
-                lists = Lists(np.frombuffer(r.ci, "<i8"), c.astype(np.float64))
-                out = [(ids[at], i, s) for at, found, scores in best_of_block(q.astype(np.float64), ids, lists, k) for i, s in zip(found, scores, strict=True)]
-                yield pd.DataFrame({"query_id": np.array([x[0] for x in out], np.int64), "vec_id": np.array([x[1] for x in out], np.int64), "score": np.array([x[2] for x in out], np.float64).astype(np.int64)})
+                lists = Lists(np.frombuffer(r.ci, "<i8"), c.astype(kind))
+                out = [(ids[at], i, min(max(int(s), -LONGEST - 1), LONGEST)) for at, found, scores in best_of_block(q.astype(kind), ids, lists, k) for i, s in zip(found, scores, strict=True)]
+                yield pd.DataFrame({name: np.array([x[i] for x in out], np.int64) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     found = pairs.repartition(F.col("at"), F.col("block")).select("n", "ids", "values", "cn", "ci", "cv").mapInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

@@ -355,6 +355,16 @@ def test_topk_equals_brute_force(spark):
     assert topk_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    vectors = {0: [2.0**30, 1.0], 1: [2.0**20, 3.0], 2: [-(2.0**21), 0.5], 3: [1e300, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    rows = [tuple(r) for r in topk_search.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    v = {i: [min(math.floor(256 * x), 2**63 - 1) for x in c] for i, c in vectors.items()}
+    held = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    best = sorted((-held(v[0][0] * c[0] + v[0][1] * c[1]), i) for i, c in v.items() if i)
+    assert rows == [(0, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+
 # --- 9: exact dedup -----------------------------------------------------------------------------------------------------
 
 
@@ -391,6 +401,7 @@ def test_language_accuracy_on_held_out_documents(spark):
 def test_language_edges(spark, odd, none):
     model = language_id.fit(odd, F.lit(True))
     out = {r.doc_id: r for r in language_id.identify(odd.withColumn("score", F.lit("clash")), model).collect()}
+    assert model.predict(["½²"], {"½²": model.unseen("½²")})[0] == "und"
     assert [out[i].lang_pred for i in (0, 1, 2, 3)] == ["und", "und", "und", "en"] and out[0].score == 0.0
     assert all(0 <= r.score <= 1 for r in out.values())
     empty = language_id.fit(none, F.lit(True))
