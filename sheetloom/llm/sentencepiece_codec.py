@@ -14,15 +14,17 @@ by itself; hence exactly one piece can end at each position, and that one surviv
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, as_bytes, widened
+from .common import Cache, as_bytes, pieces, widened
 from .token_counts import crossing_pieces, load_model, units
 
 SPACE = "▁"
@@ -34,9 +36,11 @@ class Codec:
     def __init__(self, pieces: dict[str, int], scores: dict[str, float], byte_ids: list[int], kind: str = "bpe", most_pairs: int = 400_000):
         self.pieces, self.scores, self.byte_ids, self.kind = pieces, scores, byte_ids, kind
         self.longest = max(map(len, pieces))
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.reachable = {p for p in pieces if kind == "unigram" or self.merged(p) == [p]}
         self.most_pairs = most_pairs
 
     @classmethod
@@ -70,18 +74,12 @@ class Codec:
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
-    def reachable(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
-        return found
-
     def survivor(self, window: str, i: int, last: list[int], best: list[float]) -> tuple[int, float]:
         """Start of the piece that ends at `i` in the window, and the summed score there."""
         if self.kind == "bpe":
             for j in range(max(0, i - self.longest), i - 1):
                 piece = window[j:i]
-                if piece in self.pieces and self.reachable(piece) and (j == 0 or self.apart(window[last[j] : j], piece)):
+                if piece in self.reachable and (j == 0 or self.apart(window[last[j] : j], piece)):
                     return j, 0.0
             return i - 1, 0.0  # a single character, known or not
         start, top = i - 1, best[i - 1] + self.scores.get(window[i - 1 : i], self.unknown)
@@ -130,15 +128,56 @@ class Codec:
             end = last[end]
         return [t for a, b in reversed(cuts) for t in self.emit(window[a:b])]
 
-    def encode_unit(self, unit: bytes) -> list[int]:
-        return list(self.stream(SPACE + unit.decode().replace(" ", SPACE)))
-
-
-def cached(codec: Codec, cache_size: int) -> Cache:
-    return Cache(lambda ws: [array("I", codec.encode_unit(w)).tobytes() for w in ws], cache_size)
-
-
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", cache_size: int = 300_000, kind: str = "bpe") -> DataFrame:
+    def within(self, text: str) -> list[int]:
+        """As `stream`, for a text within one window: all paths meet at its end and nothing is committed before."""
+        last, pieces, reachable, pairs, longest = [0], [""], self.reachable, self.pairs, self.longest
+        for i in range(1, len(text) + 1):
+            for j in range(i - longest if i > longest else 0, i - 1):
+                piece = text[j:i]
+                if piece in reachable:
+                    if not j:
+                        break
+                    found = pairs.get((pieces[j], piece))
+                    if found or found is None and self.apart(pieces[j], piece):
+                        break
+            else:
+                j, piece = i - 1, text[i - 1 : i]
+            last.append(j)
+            pieces.append(piece)
+        out, i = [], len(text)
+        while i:
+            out.append(pieces[i])
+            i = last[i]
+        ids = self.pieces
+        return [t for p in reversed(out) for t in ((ids[p],) if p in ids else self.emit(p))]
+
+    def encode_unit(self, unit: bytes) -> bytes:
+        """Ids of a pre-token as 32-bit numbers. Where no piece has two neighbouring characters in a row, all paths meet."""
+        text = SPACE + unit.decode().replace(" ", SPACE)
+        cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined), len(text)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = text[a:b]
+            ids = self.parts.get(part)
+            if ids is None:
+                short = self.kind == "bpe" and len(part) <= 2 * self.longest
+                ids = array("I", self.within(part) if short else self.stream(part)).tobytes()
+                if len(part) <= 24:
+                    if len(self.parts) >= self.most_pairs:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+@functools.lru_cache(maxsize=1)
+def cached(model_path: str, kind: str, cache_size: int) -> Cache:
+    """Ids of pre-tokens as 32-bit numbers in bytes; kept by a Python worker from task to task."""
+    codec = Codec.of(load_model(model_path), kind)
+    return Cache(lambda ws: [codec.encode_unit(w) for w in ws], cache_size)
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", cache_size: int = 800_000, kind: str = "bpe") -> DataFrame:
     """Add `ids`, the token ids of each whole text, without begin or end ids.
 
     Null gives null, an empty text no ids. A text of any length is streamed in bounded memory besides its ids. All other
@@ -149,31 +188,30 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cached(Codec.of(load_model(model_path), kind), cache_size)
-        for batch in batches:
-            out = []
-            for t in batch.column(at).cast(pa.binary()).to_pylist():
-                u = units(t or b"")
-                out.append(None if t is None else array("i", b"".join(map(cache.lookup(u).__getitem__, u))))
+        cache = cached(model_path, kind, cache_size)
+        for batch in (part for whole in batches for part in pieces(whole, at, 2 << 20)):
+            lists = [None if t is None else units(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            table = cache.lookup(set(chain.from_iterable(u for u in lists if u)))
+            out = [None if u is None else array("i", b"".join(map(table.__getitem__, u))) for u in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*rest, ids])
 
     return plain.mapInArrow(run, widened(plain).add(ids, T.ArrayType(T.IntegerType())))
 
 
-def digest(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", cache_size: int = 300_000, kind: str = "bpe") -> DataFrame:
+def digest(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", cache_size: int = 800_000, kind: str = "bpe") -> DataFrame:
     """Per document: key, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), and whether decoding the ids
     gives the text again, in which a space mark reads as a space. A null text counts as empty."""
     from zlib import crc32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_model(model_path)
-        codec = Codec.of(model, kind)
-        cache, spelled = cached(codec, cache_size), decoder(model)
-        for batch in batches:
+        cache, spelled = cached(model_path, kind, cache_size), decoder(load_model(model_path))
+        for batch in (part for whole in batches for part in pieces(whole, 1, 2 << 20)):
             n, crc, same = [], [], []
-            for t in as_bytes(batch.column(1)):
-                u = units(t)
-                joined = b"".join(map(cache.lookup(u).__getitem__, u))
+            texts = as_bytes(batch.column(1))
+            lists = [units(t) for t in texts]
+            table = cache.lookup(set(chain.from_iterable(lists)))
+            for t, u in zip(texts, lists, strict=True):
+                joined = b"".join(map(table.__getitem__, u))
                 n.append(len(joined) // 4)
                 crc.append(crc32(joined))
                 same.append(spelled(array("I", joined)) == t.replace(SPACE.encode(), b" "))
