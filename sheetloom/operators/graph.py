@@ -165,3 +165,23 @@ class Views:
             },
             edges,
         )
+
+
+def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.where(F.col("id") == node_id)
+
+
+def nodes_by_label(nodes: DataFrame, label: str) -> DataFrame:
+    return nodes.where(F.array_contains("labels", label))
+
+
+def relationships_by_type(rels: DataFrame, kind: str) -> DataFrame:
+    return rels.where(F.col("type") == kind)
+
+
+def loading_summary(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """One row per document: numbers of nodes, of relationships to local targets and of those to vocabulary targets."""
+    n = nodes.groupBy("document_id").agg(F.count("*").alias("nodes_loaded"))
+    local = F.col("target_ref").isNull()
+    r = rels.groupBy("document_id").agg(F.count_if(local).alias("local_relationships_loaded"), F.count_if(~local).alias("target_ref_relationships_loaded"))
+    return n.join(r, "document_id", "full_outer").na.fill(0)

@@ -164,6 +164,7 @@ def queries() -> dict[str, Query]:
         "layout_block_counts": lambda spark, sf_dir: layout.block_counts(layout.line_blocks(chats(spark, sf_dir))),
         "graph_violations": lambda spark, sf_dir: violations.violations(*D.extraction_documents(spark, sf_dir)),
         "graph_report": lambda spark, sf_dir: violations.report(*D.extraction_documents(spark, sf_dir)),
+        "graph_loading_summary": lambda spark, sf_dir: graph.loading_summary(*D.extraction_documents(spark, sf_dir)[1:]),
         "graph_label_counts": label_counts,
         "graph_edge_counts": edge_counts,
         "graph_reference_errors": reference_errors,
@@ -205,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "layout_block_counts": f"WITH blk AS ({S.line_blocks(chats_sql)}) SELECT source_file, page_number, block_type, count(*) AS blocks, max(max(page_number)) OVER (PARTITION BY source_file) AS page_count FROM blk GROUP BY source_file, page_number, block_type",
         "graph_violations": f"{S.VIOLATIONS} SELECT * FROM v",
         "graph_report": S.REPORT,
+        "graph_loading_summary": f"""WITH {S.DOCS}, n AS (SELECT document_id, count(*) AS c FROM nd GROUP BY 1), r AS (SELECT document_id, count(*) FILTER (WHERE label IS NULL) AS l, count(*) FILTER (WHERE label IS NOT NULL) AS v FROM rl GROUP BY 1)
+            SELECT document_id, coalesce(c, 0) AS nodes_loaded, coalesce(l, 0) AS local_relationships_loaded, coalesce(v, 0) AS target_ref_relationships_loaded FROM n FULL JOIN r USING (document_id)""",
         "graph_label_counts": f"WITH {S.DOCS} {labels}",
         "graph_edge_counts": f"WITH {S.DOCS}, {ends} SELECT type, count(*) AS n FROM local GROUP BY type",
         "graph_reference_errors": f"""WITH {S.DOCS} SELECT DISTINCT source, type, 'target_ref did not match an existing node: label=' || label || ', key=' || refkey || ', value="' || value || '"' AS message FROM rl WHERE label IS NOT NULL""",

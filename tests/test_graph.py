@@ -241,3 +241,13 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["compare", "--rule", f"{t}/rule", "--llm", f"{t}/model", "--lines", "--output", f"{t}/compared"])
     cli.main(["select", "--input", f"{t}/compared", "--lines", "--strategy", "union", "--output", f"{t}/selected"])
     assert spark.read.json(f"{t}/selected").first().summary.page_count == 1
+
+
+def test_lookups_and_settings(spark, tmp_path, monkeypatch):
+    from sheetloom.sources.settings import resolve
+
+    _, nodes, rels = parts(spark, tmp_path, sensor())
+    assert graph.node_by_id(nodes, "p1").count() == 1 and graph.nodes_by_label(nodes, "Evidence").count() == 2 and graph.relationships_by_type(rels, "HAS_UNIT").count() == 1
+    assert tuple(graph.loading_summary(nodes, rels).first()) == ("sheet", 7, 7, 4)
+    monkeypatch.setenv("SHEETLOOM_MODEL", " m ")
+    assert (resolve("given", "model", "d"), resolve(None, "model", "d"), resolve("", "other", "d")) == ("given", "m", "d")
