@@ -76,6 +76,22 @@ def pieces(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa
         yield batch.slice(start)
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: one thing at a time, so the operators of a pipeline that run in the
+    same workers do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
 class Cache:
     """A map from words to results in two generations of at most `most` entries each.
 

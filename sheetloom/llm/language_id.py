@@ -8,6 +8,7 @@ is known does the next shorter order speak. The text's scores are sums over its
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, pieces, widened
+from .common import Cache, as_bytes, kept, pieces, widened
 
 UNDETERMINED = "und"
 SPLIT = re.compile(r"[\W\d_]+")
@@ -33,7 +34,7 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, bytes], grams: list[tuple[int, dict[str, int], np.ndarray]], floor: np.ndarray):
         self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
-        self.cache: Cache | None = None
+        self.name = uuid.uuid4().hex
 
     @classmethod
     def of(cls, counts: dict[str, Counter], most_words: int, most_grams: int, orders: tuple[int, ...], smooth: float = 0.5) -> Model:
@@ -128,11 +129,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        if known.cache is None:  # a Python worker keeps the broadcast model, and so its cache, from task to task
-            known.cache = Cache(lambda ws: map(known.unseen, ws), cache_size, fixed=known.words)
+        cache = kept(("language", known.name, cache_size), lambda: Cache(lambda ws: map(known.unseen, ws), cache_size, fixed=known.words))
         for batch in (part for whole in batches for part in pieces(whole, at, 2 << 20)):
             lists = [words_of(t) for t in as_bytes(batch.column(at))]
-            table = known.cache.lookup(set(chain.from_iterable(lists)))
+            table = cache.lookup(set(chain.from_iterable(lists)))
             found = [known.predict(words, table) for words in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*rest, pred, score])
 

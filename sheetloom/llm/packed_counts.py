@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
+
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 #: A random number per byte value.
@@ -62,6 +64,7 @@ def word_hashes(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np
 
     A-Z count as a-z; words end at ASCII white space. Texts are joined into buffers of about `most` bytes.
     """
+    forget()
     hashes, numbers = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     i = 0
     while i < len(texts):

@@ -6,7 +6,6 @@ sequence crosses documents and every sequence has a power of two as its length:
 
 from __future__ import annotations
 
-import functools
 import os
 import unicodedata
 import zlib
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, pieces
+from .common import Cache, as_bytes, kept, pieces
 
 #: The table of pieces; `ids` only on request.
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -32,9 +31,8 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=1)
 def word_encoder(path: str, cache_size: int) -> Cache:
-    """Ids of white-space separated words as little-endian 32-bit bytes; kept by a Python worker from task to task.
+    """Ids of white-space separated words as little-endian 32-bit bytes.
 
     The pre-tokenizer of these vocabularies drops white space and never joins across it, so a text's ids are those of its
     words in a row. It also parts letters from the punctuation behind them. Words of letters alone are one pre-token each,
@@ -93,7 +91,7 @@ def binary_lengths(n: int, context: int) -> list[int]:
     return [context] * (n // context) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", context: int = 4096, end_id: int = 2, with_ids: bool = False, cache_size: int = 900_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", context: int = 4096, end_id: int = 2, with_ids: bool = False, cache_size: int = 500_000) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids.
 
     A null or empty text is the end id alone. Every piece is one sequence, at offset 0. The high bits of `sequence_id` are
@@ -110,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_encoder(tokenizer_path, cache_size)
+        cache = kept(("packing", tokenizer_path, cache_size), lambda: word_encoder(tokenizer_path, cache_size))
         end = end_id.to_bytes(4, "little")
         part_number, given = TaskContext.get().partitionId(), 0
         for batch in (part for whole in batches for part in pieces(whole, 1, 2 << 20)):

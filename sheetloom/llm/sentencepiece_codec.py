@@ -14,7 +14,6 @@ by itself; hence exactly one piece can end at each position, and that one surviv
 
 from __future__ import annotations
 
-import functools
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, as_bytes, pieces, widened
+from .common import Cache, as_bytes, kept, pieces, widened
 from .token_counts import crossing_pieces, load_model, units
 
 SPACE = "▁"
@@ -170,11 +169,14 @@ class Codec:
         return b"".join(out)
 
 
-@functools.lru_cache(maxsize=1)
 def cached(model_path: str, kind: str, cache_size: int) -> Cache:
     """Ids of pre-tokens as 32-bit numbers in bytes; kept by a Python worker from task to task."""
-    codec = Codec.of(load_model(model_path), kind)
-    return Cache(lambda ws: [codec.encode_unit(w) for w in ws], cache_size)
+
+    def make() -> Cache:
+        codec = Codec.of(load_model(model_path), kind)
+        return Cache(lambda ws: [codec.encode_unit(w) for w in ws], cache_size)
+
+    return kept(("sentencepiece", model_path, kind, cache_size), make)
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", cache_size: int = 800_000, kind: str = "bpe") -> DataFrame:
