@@ -48,8 +48,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Training sequences of at most 4096 tokens. The cache is smaller than by default: other stages use the executors too."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_size=500_000)
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact), ("ngram_join", near), ("packing", packed)]
