@@ -88,17 +88,29 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     smallest hash of the key, as many as hold `most_chars` characters together. Rows without a language or text teach
     nothing. The sample bounds the tables, which are broadcast; every text is predicted whole.
     """
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-    ranked = rows.select("lang", "h", F.length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "n")))
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.length(text)).alias("h"))
+    numbers = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # languages are few
+    if len(numbers) > 500:
+        raise ValueError("over 500 languages do not fit the model's tables")
+    if not numbers:
+        return Model.of({}, most_words, most_grams, orders)
+    # the share of hashes that holds about twice the rows that are wanted, so that no task ranks more than those
+    share = {x: (1 << 63) - 1 if n <= 2 * docs_per_lang else (1 << 64) * 2 * docs_per_lang // n - (1 << 63) for x, n in numbers.items()}
+    near = F.create_map(*(c for x, h in share.items() for c in (F.lit(x), F.lit(h).cast("long"))))
+    ranked = rows.select("lang", "h", F.length("text").alias("n")).where(F.col("h") <= near[F.col("lang")])
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "n")))
     cuts: dict[str, int] = {}
     held: Counter = Counter()
-    for r in ranked.where(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect():  # each task passes on that many at most
-        if held[r.lang] + r.n <= most_chars or not held[r.lang]:
+    full: set[str] = set()
+    for r in ranked.where(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect():
+        if r.lang in cuts and held[r.lang] + r.n > most_chars:
+            full.add(r.lang)
+        if r.lang not in full:
             held[r.lang] += r.n
             cuts[r.lang] = r.h
     counts: dict[str, Counter] = {}
     if cuts:
-        limit = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))
+        limit = F.create_map(*(c for x, h in cuts.items() for c in (F.lit(x), F.lit(h).cast("long"))))
         chosen = rows.where(F.col("h") <= limit[F.col("lang")]).select("lang", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +122,9 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
         counted = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        for r in counted.collect():  # bounded by the sample's characters
-            counts.setdefault(r.lang, Counter())[r.word] = r.n
+        found = counted.toArrow()  # bounded by the sample's characters
+        for name, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            counts.setdefault(name, Counter())[word] = n
     return Model.of(counts, most_words, most_grams, orders)
 
 
