@@ -21,30 +21,32 @@ RECORDED = """SELECT d.source AS source_file, CAST(d.doc_id + 1 AS INT) AS page_
     CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'high' WHEN l.quality = 1 THEN 'medium' WHEN l.toxic = 0 THEN 'low' ELSE 'irrelevant' END AS relevance_level,
     l.quality = 1 AS useful_for_extraction, d.lang AS likely_content_type FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 
-LINES = "SELECT concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber) AS id, concat('equipment_', l_partkey) AS e, concat(l_returnflag, l_linestatus, l_linenumber) AS raw_label, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS value, CASE WHEN l_tax < 0.02 THEN NULL WHEN l_tax < 0.05 THEN 'mm' ELSE 'nm' END AS unit, l_orderkey FROM {lineitem} WHERE l_linenumber <= 2"
+# Every line item is a parameter. Some references to types and evidence are changed, so that they lead nowhere.
+LINES = "SELECT concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber) AS id, concat('equipment_', l_partkey) AS e, concat(l_returnflag, l_linestatus, l_linenumber, CASE WHEN l_orderkey % 11 = 3 THEN '?' ELSE '' END) AS raw_label, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS value, CASE WHEN l_tax < 0.02 THEN NULL WHEN l_tax < 0.05 THEN 'mm' ELSE 'nm' END AS unit, CASE WHEN l_orderkey % 10 = 0 THEN -1 - l_orderkey ELSE l_orderkey END AS l_orderkey FROM {lineitem}"
 SHEETS = "SELECT concat('datasheet_', s_suppkey) AS id, s_name AS file_name, concat('nation_', s_nationkey) AS document_type FROM {supplier}"
 EQUIPMENT = "SELECT concat('equipment_', p_partkey) AS id, p_name AS product_model, p_brand AS manufacturer, p_type AS raw_equipment_type FROM {part}"
 KINDS = "SELECT DISTINCT p_type AS name, lower(p_type) AS display_name FROM {part} WHERE p_type <> 'ECONOMY'"
 DESCRIBES = "SELECT DISTINCT concat('datasheet_', l_suppkey) AS src, concat('equipment_', l_partkey) AS dst FROM {lineitem}"
-EVIDENCE = "SELECT concat('evidence_', o_orderkey) AS id, CAST(o_orderkey % 50 + 1 AS INT) AS page_number, concat('block_', o_orderkey % 7) AS content_block_id, o_orderpriority AS source_text, o_orderstatus AS evidence_type, 'explicit' AS evidence_status, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 1000000.0 END AS confidence, 'derived' AS extraction_method FROM {orders} WHERE o_orderkey % 10 <> 0"
-TYPES = "SELECT * FROM (VALUES ('AF1', true), ('AF2', true), ('AO1', true), ('NF1', true), ('NO1', false), ('RF1', false), ('RF2', true), ('RO1', false)) AS t(name, expects_unit)"
+EVIDENCE = "SELECT concat('evidence_', o_orderkey) AS id, CAST(o_orderkey % 50 + 1 AS INT) AS page_number, concat('block_', o_orderkey % 7) AS content_block_id, o_orderpriority AS source_text, o_orderstatus AS evidence_type, 'explicit' AS evidence_status, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 1000000.0 END AS confidence, 'derived' AS extraction_method FROM {orders}"
+LABELS = [f"{flag}{status}{number}" for flag in "ANR" for status in "FO" for number in range(1, 8)]
+TYPES = f"SELECT * FROM (VALUES {', '.join(f"('{x}', {str(x[:2] in ('AF', 'AO', 'NF') or (x[:2] == 'RF' and int(x[2]) % 2 == 0)).lower()})" for x in LABELS)}) AS t(name, expects_unit)"
 REQUIRED = "SELECT * FROM (VALUES ('AF1'), ('NF1'), ('RF2')) AS t(name)"
-ALLOWED = "SELECT * FROM (VALUES ('AF1', 'mm'), ('AF2', 'mm'), ('AO1', 'mm'), ('NF1', 'mm'), ('NO1', 'mm'), ('RF1', 'mm'), ('RF2', 'mm'), ('RO1', 'mm'), ('AO1', 'nm'), ('NO1', 'nm'), ('RF1', 'nm'), ('RF2', 'nm'), ('RO1', 'nm')) AS t(name, unit)"
+ALLOWED = f"SELECT * FROM (VALUES {', '.join(f"('{x}', '{unit}')" for unit in ('mm', 'nm') for x in LABELS if unit == 'mm' or x[:2] not in ('AF', 'NF'))}) AS t(name, unit)"
 
-# One extraction document per supplier, over its line items of number 1, with faults planted by remainders.
-DOC_LINES = "SELECT DISTINCT concat('datasheet_', l_suppkey) AS document_id, l_suppkey, l_partkey, l_orderkey, l_returnflag FROM {lineitem} WHERE l_linenumber = 1"
+# One extraction document per supplier, over all its line items, each a parameter with evidence of its own, with faults planted by remainders.
+DOC_LINES = "SELECT DISTINCT concat('datasheet_', l_suppkey) AS document_id, l_suppkey, l_partkey, l_orderkey, l_linenumber, l_returnflag FROM {lineitem}"
 DOC_DOCUMENTS = "SELECT concat('datasheet_', s_suppkey) AS document_id, '0.1.0' AS schema_version, CASE WHEN s_suppkey % 11 = 5 THEN 'guessed' ELSE 'llm_generated' END AS extraction_scope, s_suppkey FROM {supplier}"
 DOC_NODES = f"""SELECT document_id, document_id AS id, CASE WHEN s_suppkey % 7 = 3 THEN 'Manual' ELSE 'Datasheet' END AS label, NULL AS status, NULL AS confidence, false AS bare FROM ({DOC_DOCUMENTS}) a
     UNION ALL SELECT DISTINCT document_id, concat('equipment_', l_partkey), 'Equipment', NULL, NULL, false FROM ({DOC_LINES}) b
-    UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey), 'TechnicalParameter', NULL, NULL, l_orderkey % 17 = 4 FROM ({DOC_LINES}) c
-    UNION ALL SELECT document_id, concat('evidence_', l_orderkey, '_', l_partkey), 'Evidence', CASE WHEN l_orderkey % 19 = 2 THEN 'guessed' WHEN l_orderkey % 19 = 3 THEN NULL ELSE 'explicit' END, CASE WHEN l_orderkey % 23 = 1 THEN '1.5' WHEN l_orderkey % 23 = 2 THEN '"sure"' WHEN l_orderkey % 23 = 3 THEN 'true' ELSE '0.5' END, l_orderkey % 29 = 7 FROM ({DOC_LINES}) d
+    UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'TechnicalParameter', NULL, NULL, l_orderkey % 17 = 4 FROM ({DOC_LINES}) c
+    UNION ALL SELECT document_id, concat('evidence_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'Evidence', CASE WHEN l_orderkey % 19 = 2 THEN 'guessed' WHEN l_orderkey % 19 = 3 THEN NULL ELSE 'explicit' END, CASE WHEN l_orderkey % 23 = 1 THEN '1.5' WHEN l_orderkey % 23 = 2 THEN '"sure"' WHEN l_orderkey % 23 = 3 THEN 'true' ELSE '0.5' END, l_orderkey % 29 = 7 FROM ({DOC_LINES}) d
     UNION ALL SELECT document_id, concat('run_', l_suppkey), 'ExtractionRun', NULL, NULL, false FROM (SELECT DISTINCT document_id, l_suppkey FROM ({DOC_LINES}) e WHERE l_suppkey % 13 <> 6) f
-    UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey), 'TechnicalParameter', NULL, NULL, false FROM ({DOC_LINES}) g WHERE l_orderkey % 101 = 9"""
+    UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'TechnicalParameter', NULL, NULL, false FROM ({DOC_LINES}) g WHERE l_orderkey % 101 = 9"""
 DOC_RELS = f"""SELECT document_id, 1 AS part, l_orderkey AS k, document_id AS source, 'DESCRIBES' AS type, concat('equipment_', l_partkey) AS target, NULL AS label, NULL AS refkey, NULL AS value FROM ({DOC_LINES}) a WHERE l_suppkey % 10 <> 4
-    UNION ALL SELECT document_id, 2, l_orderkey, concat('equipment_', l_partkey), 'HAS_PARAMETER', concat('param_', l_orderkey, '_', l_partkey), NULL, NULL, NULL FROM ({DOC_LINES}) b WHERE l_partkey % 9 <> 1
-    UNION ALL SELECT document_id, 3, l_orderkey, concat('param_', l_orderkey, '_', l_partkey), 'HAS_PARAMETER_TYPE', CASE WHEN l_orderkey % 31 = 5 THEN 'evidence_lost' END, CASE WHEN l_orderkey % 31 <> 5 THEN CASE WHEN l_orderkey % 37 = 6 THEN 'Unit' ELSE 'ParameterType' END END, CASE WHEN l_orderkey % 31 <> 5 THEN 'name' END, CASE WHEN l_orderkey % 31 <> 5 THEN l_returnflag END FROM ({DOC_LINES}) c WHERE l_orderkey % 41 <> 8
-    UNION ALL SELECT document_id, 4, l_orderkey, concat('param_', l_orderkey, '_', l_partkey), 'EVIDENCED_BY', concat('evidence_', l_orderkey, '_', l_partkey), NULL, NULL, NULL FROM ({DOC_LINES}) d WHERE l_orderkey % 43 <> 8
-    UNION ALL SELECT document_id, 5, l_orderkey, concat('param_', l_orderkey, '_', l_partkey), 'GENERATED_BY', concat('run_', l_suppkey), NULL, NULL, NULL FROM ({DOC_LINES}) e WHERE l_orderkey % 47 <> 8"""
+    UNION ALL SELECT document_id, 2, l_orderkey, concat('equipment_', l_partkey), 'HAS_PARAMETER', concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), NULL, NULL, NULL FROM ({DOC_LINES}) b WHERE l_partkey % 9 <> 1
+    UNION ALL SELECT document_id, 3, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'HAS_PARAMETER_TYPE', CASE WHEN l_orderkey % 31 = 5 THEN 'evidence_lost' END, CASE WHEN l_orderkey % 31 <> 5 THEN CASE WHEN l_orderkey % 37 = 6 THEN 'Unit' ELSE 'ParameterType' END END, CASE WHEN l_orderkey % 31 <> 5 THEN 'name' END, CASE WHEN l_orderkey % 31 <> 5 THEN l_returnflag END FROM ({DOC_LINES}) c WHERE l_orderkey % 41 <> 8
+    UNION ALL SELECT document_id, 4, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'EVIDENCED_BY', concat('evidence_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), NULL, NULL, NULL FROM ({DOC_LINES}) d WHERE l_orderkey % 43 <> 8
+    UNION ALL SELECT document_id, 5, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'GENERATED_BY', concat('run_', l_suppkey), NULL, NULL, NULL FROM ({DOC_LINES}) e WHERE l_orderkey % 47 <> 8"""
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
