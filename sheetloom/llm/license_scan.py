@@ -1,6 +1,6 @@
 """License scan: an exact set-similarity join between text blocks and license templates.
 
-A block is a sentence or line of a text, a template the word set of a license sentence. A template is found in a block if
+A block is a sentence of a text, over as many lines as it is wrapped, a template the word set of a license sentence. A template is found in a block if
 at least `threshold` of its words are there. Words are put in one global order, rarest first by their count in the whole
 corpus; words that no template has come before all others and can never match. Then, for a template T, a block B and the
 least overlap a = ceil(threshold * |T|): one of the first |T| - a + 1 words of T is among the first |B| - a + 1 of B
@@ -25,7 +25,8 @@ from .common import as_bytes
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
-BLOCK_END = re.compile(rb"[.!?;:]\s+|\s*\n\s*")
+#: Sentence ends and blank lines. A single line break is white space, and templates have colons and semicolons inside.
+BLOCK_END = re.compile(rb"[.!?]\s+|(?>\r\n?|\n)[^\S\r\n]*(?>\r\n?|\n)\s*")
 
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
