@@ -1,10 +1,11 @@
 """Cases in which operators once did less than their whole job."""
 
-import pytest
-from pyspark.sql import functions as F
+import random
 
+import corpus_pipeline
 from sheetloom.llm import license_scan
-from tests.llm.test_llm import docs
+
+from .test_llm import DOCS, docs
 
 # --- 1: license scan ---------------------------------------------------------------------------------------------------
 
@@ -34,3 +35,35 @@ def test_license_sentences_do_not_run_together(spark):
     texts = ["released under\n\nthe mit license", "released under\r\n \t\r\nthe mit license", "released under. the mit license", "released under\nthe mit license"]
     rows = license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["", "", "", "mit"]
+
+
+# --- pipeline -----------------------------------------------------------------------------------------------------------
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["house", "room", "water", "stone"]) + rng.choice("abcdefgh") for _ in range(n))
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=repr)
+
+
+def test_exact_stage_decides_by_row(spark):
+    rows = [(None, "A", "s"), (9, "A", "s"), (None, "unique", "s"), (5, "A", "s"), (5, "B", "s"), (3, "C", "t"), (3, "C", "s"), (3, "C", "s"), (None, "D", "s"), (None, "D", "s")]
+    out = corpus_pipeline.exact(spark, spark.createDataFrame([(i, t, "en", x, None) for i, t, x in rows], DOCS), "")
+    assert rows_of(out) == sorted([(9, "A", "s"), (None, "unique", "s"), (5, "B", "s"), (3, "C", "s"), (None, "D", "s")], key=repr)
+
+
+def test_near_stage_decides_by_row(spark):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(None, a), (9, a + " end"), (None, b), (7, c), (7, c + " end"), (7, "alone"), (4, prose(4)), (4, prose(4)), (None, prose(5)), (None, prose(5) + " end")]
+    out = rows_of(corpus_pipeline.near(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), ""))
+    assert {(i, t) for i, t, _ in out} >= {(9, a + " end"), (None, b), (7, "alone"), (4, prose(4))}
+    assert len(out) == 6 and sum(t in (c, c + " end") for _, t, _ in out) == 1 and sum(t.startswith(prose(5)) for _, t, _ in out) == 1
+
+
+def test_near_stage_with_one_null_id(spark):
+    a, b = prose(1), prose(2)
+    assert [r[:2] for r in rows_of(corpus_pipeline.near(spark, docs(spark, [a, a + " end", b], [None, 9, 5]), ""))] == [(5, b), (9, a + " end")]
+    assert [r[:2] for r in rows_of(corpus_pipeline.near(spark, docs(spark, [a, b, b + " end"], [None, 9, 5]), ""))] == [(5, b + " end"), (None, a)]
