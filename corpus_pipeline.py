@@ -25,8 +25,14 @@ def columns(df: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and a clear language stay; those without text or letters go."""
+    """Documents with letters and a clear language stay; those without text or letters go.
+
+    Where no row teaches a language (no labels at all, or only beside texts without words) none can be unclear: all texts with
+    letters stay.
+    """
     model = language_id.fit(docs, F.lit(True))
+    if not model.langs:
+        return columns(docs.where(F.col("text").rlike(r"\p{L}")))
     kept = language_id.identify(columns(docs), model, pred="_lang_pred", score="_lang_score")
     return columns(kept.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)))
 

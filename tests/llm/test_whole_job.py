@@ -67,3 +67,9 @@ def test_near_stage_with_one_null_id(spark):
     a, b = prose(1), prose(2)
     assert [r[:2] for r in rows_of(corpus_pipeline.near(spark, docs(spark, [a, a + " end", b], [None, 9, 5]), ""))] == [(5, b), (9, a + " end")]
     assert [r[:2] for r in rows_of(corpus_pipeline.near(spark, docs(spark, [a, b, b + " end"], [None, 9, 5]), ""))] == [(5, b + " end"), (None, a)]
+
+
+def test_language_stage_without_labels(spark):
+    texts = ["the house", "Ünï 42", "日本語", None, "", "123 _ !", "²"]
+    out = corpus_pipeline.languages(spark, spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(texts)], DOCS), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
