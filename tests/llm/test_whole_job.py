@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from sheetloom.llm import license_scan
+import numpy as np
+import pytest
+from sheetloom.llm import license_scan, url_filter
 
 from .test_llm import DOCS, docs
 
@@ -37,6 +39,30 @@ def test_license_sentences_do_not_run_together(spark):
     assert [r.labels for r in rows] == ["", "", "", "mit"]
 
 
+# --- 5: url filter -----------------------------------------------------------------------------------------------------
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    n = 30  # every host links to the next one, the last is blocked by rule
+    pages = [(i, f"http://h{i}.org/", f'<a href="//h{i + 1}.org/">') for i in range(n)] + [(n, f"http://h{n}.org/", "")]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), [(f"h{n}.org", "/", "block")]).orderBy("page_id").collect()
+    assert {r.verdict for r in rows} == {"block"}
+    assert [r.distrust for r in rows] == pytest.approx([0.15 * 0.85 ** (n - i) for i in range(n + 1)], rel=1e-6)
+
+
+@pytest.mark.parametrize("local", [1000])
+def test_propagation_is_the_converged_solution(spark, local):
+    links = [(i, i + 1) for i in range(14)] + [(14, 3), (5, 0)]
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", 1.0) for a, b in links], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0), ("h4", 3.0)], "host string, mass double")
+    a = np.zeros((15, 15))
+    for x, y in links:
+        a[y, x] = 1 / sum(p == x for p, _ in links)
+    exact = np.linalg.solve(np.eye(15) - 0.85 * a, 0.15 * np.bincount([0, 4], [0.25, 0.75], 15))
+    found = {r.host: r.score for r in url_filter.propagate(edges, seeds, local_links=local).collect()}
+    assert [found[f"h{i}"] for i in range(15)] == pytest.approx(list(exact), rel=1e-6)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------
 
 
