@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import exact_dedup, language_id, ngram_join, packing
-from sheetloom.llm.common import settle, shared_folder, table
-from sheetloom.llm.ngram_join import small_side
+from sheetloom.llm.common import settle, shared_folder, small_side, table
 
 #: A text is rejected below this share of the probability for its best language.
 LEAST_SCORE = 0.5

@@ -9,9 +9,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Up to this many rows of a few numbers each are broadcast (some 100 MB at most); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +58,45 @@ def discard(*settled: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def located(docs: DataFrame, *columns: Column, name: str = "_row") -> DataFrame:
+    """`columns` of each row and `name`, a hash of its place: its file and its number there.
+
+    The hash is the same in every run over the rows, however they are split into tasks and whatever executors are lost, and
+    differs between rows that are equal. Rows that do not come straight from files are written first.
+    """
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        return docs.select(*columns, place)
+    except AnalysisException:
+        written = settle(docs.select(*columns))
+        return written.select("*", place)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Hint a settled table for broadcast if its count allows that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, how: str = "inner", whole: int = 50_000) -> DataFrame:
+    """`rows` joined with `side`, a settled table of distinct `on` with the number of `rows` that have it in `weight`.
+
+    Keys of many rows are broadcast and their rows stay where they are, so no key is hot; the rest meets in a shuffle. A key
+    has many rows above the `BROADCAST_ROWS`-th part of all: there are no more such keys than may be broadcast. Up to `whole`
+    keys are all broadcast.
+    """
+    keys, total = side.agg(F.count("*"), F.sum(weight)).first()
+    if keys <= whole:
+        return rows.join(F.broadcast(side), on, how)
+    many = max(1000, total // BROADCAST_ROWS)
+    hot, cold = side.where(F.col(weight) > many), side.where(F.col(weight) <= many)
+    if hot.isEmpty():
+        return rows.join(cold, on, how)
+    mark = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    marked = rows.join(mark, on, "left")
+    near = marked.where("_hot").drop("_hot").join(F.broadcast(hot), on)
+    return near.unionByName(marked.where("_hot is null").drop("_hot").join(cold, on, how))
+
+
 def widened(df: DataFrame) -> T.StructType:
     """A copy of the schema to add fields to; add() alters the one that `df` holds."""
     return T.StructType(list(df.schema.fields))

@@ -3,8 +3,9 @@
 A text's set is its distinct word shingles. If two sets of sizes x and y reach the Jaccard threshold t, they share at least
 t * max(x, y) shingles; so under any one global order of all shingles, the first x - ceil(t * x) + 1 of one set and the first
 y - ceil(t * y) + 1 of the other have one in common. That holds for every order, so a linked pair must share prefix shingles
-under each of several different orders at once. Every order puts shingles of fewer sets first, by exact counts over all
-texts, and differs from the others among equal counts. A shingle of one set only can be shared by none and is not sent on.
+under each of several different orders at once. The first order puts shingles of fewer sets first, by exact counts over all
+texts; the others are orders by hashes that have nothing to do with each other or with counts, so what shares a rare shingle
+by chance and little else is parted by them. A shingle of one set only can be shared by none and is not sent on.
 
 Pairs are never listed. Under the first order, sets with a prefix shingle in common are joined into blocks (to the smallest
 set of the shingle's list, so a list of a million sets costs a million rows); each further order splits every block the
@@ -23,11 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, pieces, settle
-from .packed_counts import MIX, chunks, counts_packed, counts_unpacked, mixed, packed, ranges, totals, unpacked, word_hashes
-
-#: Up to this many rows of two or three numbers each are broadcast (some 100 MB at most); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+from .common import as_bytes, discard, pieces, settle, small_side, spread_join
+from .packed_counts import ASK, FAN, FIRST, MIX, asked, asks, chunked, counts_unpacked, exchange, mixed, word_hashes
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +52,13 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return out[new], np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(texts)))]).astype(int)
 
 
-def class_of(s: np.ndarray) -> int:
-    """A number for a set: equal sets have the same, others differ but for one chance in 2**63."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set, equal for equal sets. The first names it, the second proves that no other set has that name."""
+    data = s.tobytes()
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63)
 
 
-def classes(sets: np.ndarray, cuts: np.ndarray) -> list[int | None]:
+def classes(sets: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int] | None]:
     return [class_of(sets[a:b]) if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
@@ -67,11 +66,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-REQUEST = "range int, chunk long, keys binary, n binary"
-REPLY = "chunk long, range int, n binary"
-
-
-def distinct_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, list[int | None], np.ndarray]:
+def distinct_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
     """Sets and cuts of a chunk's texts, their classes, and which shingles belong to the first text of their class."""
     sets, cuts = shingle_sets(as_bytes(table.column("text")), words)
     names = classes(sets, cuts)
@@ -84,71 +79,66 @@ def requests(words: int, bits: int, many: int):
     def run(table: pa.Table) -> pa.Table:
         sets, _, _, new = distinct_sets(table, words)
         keys, n = np.unique(sets[new] >> np.uint64(64 - bits), return_counts=True)
-        chunk, cuts = table.column("chunk")[0].as_py(), ranges(keys, bits, many)
-        own = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        return pa.table({"range": pa.array([i for i, _, _ in own], pa.int32()), "chunk": pa.array([chunk] * len(own), pa.int64()), "keys": pa.array([packed(keys[a:b]) for _, a, b in own], pa.binary()), "n": pa.array([counts_packed(n[a:b]) for _, a, b in own], pa.binary())})
+        return asks(asked(table.column("chunk")[0].as_py(), 1, FIRST, keys, n, None, bits, many))
 
     return run
 
 
-def replies(table: pa.Table) -> pa.Table:
-    keys = [unpacked(k) for k in table.column("keys").to_pylist()]
-    _, place, (n,) = totals(keys, [counts_unpacked(k) for k in table.column("n").to_pylist()])
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "n": pa.array([counts_packed(n[own]) for own in np.split(place, cuts)], pa.binary())})
+def in_order(s: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Places of shingles in the `k`-th global order, given the number of sets of each: by that, or by a hash alone."""
+    return np.lexsort((mixed(s, MIX[0]), n)) if k == 0 else np.argsort(mixed(s, MIX[k]), kind="stable")
 
 
 def prefixes(words: int, bits: int, percent: int, orders: int):
-    """Per text: key, set size, class, and by order the prefix shingles that other sets may have."""
+    """Per text: key, row, set size, class and its proof, and by order the prefix shingles that other sets may have."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())))
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"key": table.column("key"), "n": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "prefixes": pa.array([], pa.list_(pa.list_(pa.int64())))})
-        sets, cuts, names, new = distinct_sets(table, words)
-        short = sets >> np.uint64(64 - bits)
-        keys = np.unique(short[new])
-        given = sorted(answers.select(["range", "n"]).to_pylist(), key=lambda r: r["range"])
-        counts = np.concatenate([np.empty(0, np.int64), *(counts_unpacked(r["n"]) for r in given)])
-        if len(counts) != len(keys):
-            raise RuntimeError("the answers do not fit the chunk")
-        df = counts[np.searchsorted(keys, short)]
-        size = np.diff(cuts)
-        shared = np.concatenate([[0], np.cumsum(df > 1)])[cuts]
-        most = prefix_size(size, percent) - (size - np.diff(shared))  # of the prefix, what is left for shared shingles
-        out: list = []
-        for i in range(len(size)):
-            if size[i] == 0 or most[i] <= 0:
-                out.append([[]] * orders)
-                continue
-            own = slice(cuts[i], cuts[i + 1])
-            s, n = sets[own][df[own] > 1], df[own][df[own] > 1]
-            out.append([s[np.lexsort((mixed(s, MIX[k]), n))[: most[i]]].view(np.int64) for k in range(orders)])
-        return pa.table({"key": table.column("key"), "n": pa.array(size, pa.int64()), "class": pa.array(names, pa.int64()), "prefixes": pa.array(out, pa.list_(pa.list_(pa.int64())))})
+        columns: list = [[], [], [], []]
+        if table.num_rows:
+            sets, cuts, names, new = distinct_sets(table, words)
+            short = sets >> np.uint64(64 - bits)
+            keys = np.unique(short[new])
+            given = sorted(answers.select(["range", "a"]).to_pylist(), key=lambda r: r["range"])
+            counts = np.concatenate([np.empty(0, np.int64), *(counts_unpacked(r["a"]) for r in given)])
+            if len(counts) != len(keys):
+                raise RuntimeError("the answers do not fit the chunk")
+            df = counts[np.searchsorted(keys, short)]
+            size = np.diff(cuts)
+            unshared = np.add.reduceat(np.append(df == 1, False).astype(np.int64), cuts[:-1]) * (size > 0)
+            most = prefix_size(size, percent)
+            out: list = []
+            for i, (a, b, m) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), most.tolist(), strict=True)):
+                if a == b or unshared[i] >= m:  # the rarest come first, so the first order's prefix has no shared shingle
+                    out.append([[]] * orders)
+                    continue
+                s, n = sets[a:b], df[a:b]
+                own = (in_order(s, n, k)[:m] for k in range(orders))
+                out.append([s[x[n[x] > 1]].view(np.int64) for x in own])
+            columns = [size, [c and c[0] for c in names], [c and c[1] for c in names], out]
+        names_of = ("n", "class", "proof", "prefixes")
+        return pa.table({"key": table.column("key"), "row": table.column("_row")} | {x: pa.array(c, t) for x, c, t in zip(names_of, columns, types, strict=True)})
 
     return run
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """Hint a settled table for broadcast if its count allows that."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label: every node of `edges` (a, b) with the smallest node that it can reach.
 
     Rounds of taking the neighbours' smallest label and then that label's own label; sums and minima are partial before
-    each exchange, and every round is written to the shared checkpoint.
+    each exchange, nodes of many edges are spread, and every round is written to the shared folder.
     """
     both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    labels = settle(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), "degree"))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        least = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        out = settle(least.join(hop, "label").select("node", F.least("label", "next").alias("label"), "was"))
+        seen = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], "degree").groupBy("a").agg(F.min("label").alias("m"))
+        least = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"), "degree")
+        # a label that leads on is itself a node with a smaller label; the labels of most nodes do not
+        hop = small_side(settle(labels.where("label != node").select(F.col("node").alias("label"), F.col("label").alias("next"))))
+        out = settle(least.join(hop, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was", "degree"))
         changed = not out.where("label != was").isEmpty()
         discard(labels)
-        labels = out
+        labels = out.drop("was")
         if not changed:
             discard(both)
             return labels.select("node", "label")
@@ -157,9 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
 def blocks(prefixes: DataFrame) -> DataFrame:
     """class, block: refine `prefixes` (class, block, token): sets of a block that share tokens, directly or through others,
     stay together. Sets that share none are left out."""
-    lists = prefixes.groupBy("block", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("block", "token", "low")
-    lists = settle(lists)
-    edges = prefixes.join(small_side(lists), ["block", "token"]).where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    lists = prefixes.groupBy("block", "token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("weight")).where("low < high")
+    lists = settle(lists.select("block", "token", "low", "weight"))
+    edges = spread_join(prefixes, lists, ["block", "token"], "weight").where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b"))
     return components(edges).select(F.col("node").alias("class"), F.col("label").alias("block"))
 
 
@@ -198,7 +188,7 @@ def verified(candidates: DataFrame, sizes: DataFrame, total: int, percent: int,
     """
     spread = max(1, total * 8 // (8 << 20))
     # small blocks share a task's group, large ones are dealt into tiles that meet two by two
-    known = candidates.join(small_side(sizes), "block").withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
+    known = spread_join(candidates, sizes, ["block"], "m").withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
     mine = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
     alone = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(spread))).otherwise(F.col("block"))
     met = known.withColumn("unit", alone).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -223,53 +213,56 @@ def verified(candidates: DataFrame, sizes: DataFrame, total: int, percent: int,
     return met.groupBy("unit", "large", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, orders: int = 3, tile: int = 768, chunk_bytes: int = 8 << 20) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, orders: int = 3, tile: int = 768, chunk_bytes: int = 8 << 20, fan: int = FAN) -> DataFrame:
     """Per row: key, n_shingles (its set's size) and component_id, the smallest key reachable by links, its own included.
 
     Two rows link if the Jaccard similarity of their sets is at least `percent` / 100, computed in integers. Words are
     split at ASCII white space, A-Z lower-cased; fewer words than a shingle make one shingle of all of them. Null, empty
     and wordless texts have no shingles and link with nothing. Rows of equal sets link, also where keys repeat; a null key
-    is no smallest key, and a group of null keys alone has a null component_id. Other columns are left out; an empty table
-    gives no rows.
+    is no smallest key, and a group of null keys alone has a null component_id. Other columns are left out, whatever their
+    names; an empty table gives no rows. Shingles are told apart by 64-bit hashes.
     """
     if not 1 <= orders <= 4:
         raise ValueError("one to four orders")
-    many, chunk = chunks(docs, text, chunk_bytes, F.col(key))
+    many, plain = chunked(docs, text, chunk_bytes, F.col(key).alias("key"), F.col(text).alias("text"))
     # keys short enough to pack well and long enough that few shingles share one; they only order, sets stay exact
-    bits = min(56, (many * chunk_bytes // 4).bit_length() + 6)
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), chunk.alias("chunk"))
+    bits, parts = min(56, (many * chunk_bytes // 4).bit_length() + 6), min(many, fan)
     kind = docs.schema[key].dataType.simpleString()
-    asked = plain.select("chunk", "text").groupBy("chunk").applyInArrow(requests(words, bits, many), REQUEST)
-    answers = asked.groupBy("range").applyInArrow(replies, REPLY)
+    requested = plain.select("chunk", "text").groupBy("chunk").applyInArrow(requests(words, bits, parts), ASK)
+    answers = exchange(requested, {1: bits}, many, parts, fan=fan)
     both = plain.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    rows = settle(both.applyInArrow(prefixes(words, bits, percent, orders), f"key {kind}, n long, class long, prefixes array<array<long>>"))
+    rows = settle(both.applyInArrow(prefixes(words, bits, percent, orders), f"key {kind}, row long, n long, class long, proof long, prefixes array<array<long>>"))
 
+    # one row per distinct set, with a text that has it; all rows of a class have the same set
+    clash = F.raise_error(F.lit("two sets share a class")).cast("long")
+    reps = rows.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.min("row").alias("row"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("proof").alias("low"), F.max("proof").alias("high"))
+    reps = settle(reps.select("class", "key", "row", "n", F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(clash).alias("copies")))
     sets = rows.where("class is not null and size(prefixes[0]) > 0").select("class", "prefixes").dropDuplicates(["class"])
-    block = sets.select("class", F.lit(0).cast("long").alias("block"))
     for k in range(orders):
         tokens = sets.select("class", F.explode(F.col("prefixes")[k]).alias("token"))
         block = blocks(tokens.withColumn("block", F.lit(0).cast("long")) if k == 0 else tokens.join(small_side(block), "class"))
     sizes = settle(block.groupBy("block").agg(F.count("*").alias("m")))
 
     # the sets that are left, read from one text each
-    chosen = settle(rows.join(small_side(block), "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n")))
+    chosen = settle(reps.join(small_side(block), "class").select("row", "n"))
     total = chosen.agg(F.sum("n")).first()[0] or 0
-    asked_keys = small_side(chosen.select("key").distinct())
-    texts = plain.join(asked_keys, "key", "left_semi").unionByName(plain.where(F.col("key").isNull()))
+    texts = plain.join(small_side(chosen.select(F.col("row").alias("_row"))), "_row", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 0):
                 flat, cuts = shingle_sets(as_bytes(part.column(0)), words)
-                own = [(c, flat[a:b].tobytes()) for c, a, b in zip(classes(flat, cuts), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if c is not None]
+                own = [(c[0], flat[a:b].tobytes()) for c, a, b in zip(classes(flat, cuts), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if c is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["class", "set"])
 
     found = texts.select("text").mapInArrow(read, "class long, set binary").join(small_side(block), "class").dropDuplicates(["class"])
-    links = verified(found, sizes, total, percent, tile)
-    label = components(links).select(F.col("node").alias("class"), "label")
-
-    named = rows.select("key", "n", "class").join(label, "class", "left").withColumn("group", F.coalesce("label", "class"))
-    least = named.where("group is not null").groupBy("group").agg(F.min("key").alias("component_id"))
-    out = named.join(least, "group", "left")
-    own = F.when(F.col("group").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    label = settle(components(verified(found, sizes, total, percent, tile)).select(F.col("node").alias("class"), "label"))
+
+    # groups of linked classes; every other class is a group of its own
+    linked_keys = label.join(reps.select("class", "key"), "class")
+    least = settle(linked_keys.groupBy("label").agg(F.min("key").alias("least"), F.count("*").alias("weight")))
+    member = settle(spread_join(label, least, ["label"], "weight").select("class", "least", F.lit(True).alias("grouped")))
+    owner = reps.join(small_side(member), "class", "left").select("class", F.when(F.col("grouped"), F.col("least")).otherwise(F.col("key")).alias("component_id"), "copies")
+    out = spread_join(rows.select("key", "n", "class"), settle(owner), ["class"], "copies", "left")
+    own = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))

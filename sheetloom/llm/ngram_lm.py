@@ -1,38 +1,44 @@
-"""Language-model scoring with deleted interpolation of word bigrams.
+"""Language-model scoring with deleted interpolation of word n-grams.
 
-P(w | v) = l2 * c(v, w) / c(v) + l1 * c(w) / N + l0 / (V + 1), where the weights l depend on the bucket of the context's
-count c(v): none, 1, 2-3, 4-7 and so on. They are learned by expectation-maximisation: part of the training documents is
-deleted from the counts, and its tokens, seen from the counts of the rest, say how far each estimate can be trusted. For
-scoring, the deleted part's counts are put back.
+P(w | u v) = l3 * c(u, v, w) / c(u, v) + l2 * c(v, w) / c(v) + l1 * c(w) / N + l0 / (V + 1) for order 3, and alike for others;
+the weights l depend on the bucket of the longest context's count: none, 1, 2-3, 4-7 and so on. They are learned by
+expectation-maximisation: part of the training documents is deleted from the counts, and its tokens, seen from the counts of
+the rest, say how far each estimate can be trusted. For scoring, the deleted part's counts are put back.
 
-Counts are exact and cover all training texts. Most n-grams are unique, so they are counted in packed rows: see
-`packed_counts`. A chunk asks for the totals of its words and bigrams, and then scores its documents with the answers.
+Counts cover all training texts; n-grams are told apart by hashes, of 64 bits for words and 56 for longer ones. Most n-grams
+are unique, so they are counted in packed rows: see `packed_counts`. A chunk asks for the totals of its words and n-grams,
+and then scores its documents with the answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, settle
-from .packed_counts import MIX, chunks, counts_packed, counts_unpacked, mixed, packed, ranges, totals, unpacked, word_hashes
+from .common import as_bytes, settle
+from .packed_counts import ASK, FAN, FIRST, MIX, SUM, asked, asks, chunked, counts_unpacked, exchange, mixed, word_hashes
 
 #: Keys of the end of a text and of the place before its first word.
 END, START = np.uint64(0x0E0D), np.uint64(0x57A7)
 #: Context-count buckets 0, 1, 2-3, 4-7, ..., the last one open.
 BUCKETS = 24
-#: Histogram of the EM step: steps per power of ten of a probability, and the number of steps.
-STEPS, CELLS = 8, 128
+#: Histogram of the EM step, by order: steps per power of ten of a probability, and the number of steps.
+CELLS = {1: (8, 128), 2: (8, 128), 3: (3, 48)}
 #: Each deleted document is one of this many training documents.
 DELETED = 8
 
 
-def chunk_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, and an end after each text), 56-bit keys of (previous, token), and each text's length."""
+def bits_of(order: int) -> dict[int, int]:
+    return {size: 64 if size == 1 else 56 for size in range(1, order + 1)}
+
+
+def chunk_tokens(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams that end at each token (words, and an end after each text), by size, and each text's length.
+
+    Before its first word a text has START, however far back.
+    """
     words, n = word_hashes(texts)
     ends = np.cumsum(n + 1) - 1
     h = np.empty(len(words) + len(n), np.uint64)
@@ -40,171 +46,169 @@ def chunk_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     is_word[ends] = False
     h[is_word] = words
     h[ends] = END
-    before = np.concatenate([[START], h[:-1]]).astype(np.uint64)
-    before[ends[:-1] + 1] = START
-    with np.errstate(over="ignore"):
-        pairs = mixed(mixed(before, MIX[1]) + h, MIX[2]) >> np.uint64(8)
-    return h, pairs, n + 1
-
-
-REQUEST = "range int, chunk long, size int, keys binary, kept binary, cut binary"
-REPLY = "chunk long, size int, range int, counts binary, tokens long, types long, kept_tokens long"
+    out, longer = [h], h
+    for _ in range(1, order):
+        before = np.concatenate([[START], longer[:-1]]).astype(np.uint64)
+        before[ends[:-1] + 1] = START
+        with np.errstate(over="ignore"):
+            longer = mixed(mixed(before, MIX[1]) + h, MIX[2])
+        out.append(longer >> np.uint64(8))
+    return out, n + 1
 
 
-def requests(many: int):
-    """What a chunk asks for: for words and bigrams (`size` 1 and 2), sorted keys by range with their counts in the chunk
-    in training texts that are kept and that are deleted for EM. Chunks of EM only ask."""
+def requests(many: int, order: int):
+    """What a chunk asks for: by size of n-gram, sorted keys with their counts in the chunk in training texts that are kept
+    (`a`) and that are deleted for EM (`b`). Chunks of EM (negative) only ask, and for the counts of the kept ones alone."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        h, pairs, lengths = chunk_tokens(as_bytes(table.column("text")))
+        sizes, lengths = chunk_tokens(as_bytes(table.column("text")), order)
         role = np.array(table.column("role").to_pylist(), np.int8)  # 0: not in training, 1: kept, 2: deleted
-        out: dict[str, list] = {x.split(" ")[0]: [] for x in REQUEST.split(", ")}
         token_role = np.repeat(role, lengths)
-        for size, bits in ((1, 64), (2, 56)):
-            keys, roles = (np.append(h, np.full(len(role), START)), np.append(token_role, role)) if size == 1 else (pairs, token_role)
+        out: list[tuple] = []
+        for (size, bits), keys in zip(bits_of(order).items(), sizes, strict=True):
+            keys, roles = (np.append(keys, np.full(len(role), START)), np.append(token_role, role)) if size == 1 else (keys, token_role)
             unique, place = np.unique(keys, return_inverse=True)
             kept, cut = (np.bincount(place[roles == r], minlength=len(unique)) if chunk >= 0 else np.zeros(len(unique), int) for r in (1, 2))
-            cuts = ranges(unique, bits, many)
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    for k, v in zip(out, (i, chunk, size, packed(unique[a:b]), counts_packed(kept[a:b]), counts_packed(cut[a:b])), strict=True):
-                        out[k].append(v)
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+            out += asked(chunk, size, FIRST if chunk < 0 else SUM, unique, kept, cut, bits, many)
+        return asks(out)
 
     return run
 
 
-def replies(table: pa.Table) -> pa.Table:
-    """Totals of a range. Ordinary chunks get all training counts, those of EM (negative) the kept ones. One more row holds
-    the range's numbers of tokens, distinct words and kept tokens."""
-    rows = table.to_pylist()
-    out: list[tuple] = []
-    for size in (1, 2):
-        own = [r for r in rows if r["size"] == size]
-        if not own:
-            continue
-        keys = [unpacked(r["keys"]) for r in own]
-        unique, place, (kept, cut) = totals(keys, [counts_unpacked(r["kept"]) for r in own], [counts_unpacked(r["cut"]) for r in own])
-        both = kept + cut
-        at = 0
-        for r, k in zip(own, keys, strict=True):
-            found = place[at : at + len(k)]
-            out.append((r["chunk"], size, r["range"], counts_packed((kept if r["chunk"] < 0 else both)[found]), None, None, None))
-            at += len(k)
-        if size == 1:
-            words = unique != START
-            out.append((None, 0, own[0]["range"], None, int(both[words].sum()), int((both[words] > 0).sum()), int(kept[words].sum())))
-    names = [x.split(" ")[0] for x in REPLY.split(", ")]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
-
-
-def token_counts(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every token of a chunk: its count, its context's and the bigram's; and the texts' numbers of tokens."""
-    h, pairs, lengths = chunk_tokens(as_bytes(docs.column("text")))
-    by_size: dict[int, list] = {1: [], 2: []}
-    for r in sorted(answers.select(["size", "range", "counts"]).to_pylist(), key=lambda r: (r["size"], r["range"])):
-        by_size[r["size"]].append(counts_unpacked(r["counts"]))
-    unique, place = np.unique(np.append(h, START), return_inverse=True)
-    words = np.concatenate(by_size[1])
-    if len(words) != len(unique):
-        raise RuntimeError("the answers do not fit the chunk")
-    c1 = words[place[:-1]]
+def token_counts(docs: pa.Table, answers: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For every token of a chunk, by size: the count of the n-gram that ends there and of its context; the texts' lengths.
+
+    Words have no context; the context of a text's first token is START, which occurs once in each text.
+    """
+    sizes, lengths = chunk_tokens(as_bytes(docs.column("text")), order)
+    given = sorted(answers.select(["kind", "range", "a"]).to_pylist(), key=lambda r: (r["kind"], r["range"]))
     first = np.cumsum(lengths) - lengths
-    context = np.concatenate([c1[-1:], c1[:-1]])
-    context[first] = words[place[-1]]
-    _, place = np.unique(pairs, return_inverse=True)
-    return c1, context, np.concatenate(by_size[2])[place], lengths
+    counts: list[np.ndarray] = []
+    contexts: list[np.ndarray] = []
+    for size, keys in enumerate(sizes, 1):
+        totals = np.concatenate([counts_unpacked(r["a"]) for r in given if r["kind"] == size])
+        unique, place = np.unique(np.append(keys, START) if size == 1 else keys, return_inverse=True)
+        if len(totals) != len(unique):
+            raise RuntimeError("the answers do not fit the chunk")
+        if size == 1:
+            texts, place = totals[place[-1]], place[:-1]
+        else:
+            context = np.concatenate([counts[-1][-1:], counts[-1][:-1]])
+            context[first] = texts
+            contexts.append(context)
+        counts.append(totals[place])
+    return counts, contexts, lengths
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, np.log2(np.maximum(context, 1)).astype(int) + 1, 0), BUCKETS - 1)
 
 
-def estimates(c1: np.ndarray, context: np.ndarray, c2: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.where(context > 0, c2 / np.maximum(context, 1), 0.0), c1 / max(tokens, 1)
+def estimates(counts: list[np.ndarray], contexts: list[np.ndarray], tokens: int) -> list[np.ndarray]:
+    """Maximum-likelihood estimates of each token, from the longest n-gram to the word."""
+    longer = [np.where(c > 0, n / np.maximum(c, 1), 0.0) for n, c in zip(counts[1:], contexts, strict=True)]
+    return [*longer[::-1], counts[0] / max(tokens, 1)]
+
+
+def buckets_of(contexts: list[np.ndarray], n: int) -> np.ndarray:
+    return bucket_of(contexts[-1]) if contexts else np.zeros(n, int)
 
 
-def learn(cells: list[tuple[int, int, float, float]], uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights (l2, l1, l0) by bucket from (bucket, n, p2, p1) cells by expectation-maximisation.
+def learn(cells: list[tuple], uniform: float, order: int = 2, rounds: int = 60) -> np.ndarray:
+    """Weights by bucket, from the longest n-gram's to the uniform part's, from cells (bucket, n, estimates from the longest
+    n-gram to the word) by expectation-maximisation.
 
-    A bucket without cells takes the weights that were learned over all cells together.
+    A bucket without cells takes the weights that were learned over all cells together. Where the longest context was never
+    seen (bucket 0) its estimate has no weight.
     """
+    table = np.array(cells, float).reshape(len(cells), order + 2)
+    bucket, n = table[:, 0], table[:, 1]
+    p = np.column_stack([table[:, 2:], np.full(len(cells), uniform)])
 
-    def em(own: list[tuple[int, int, float, float]], start: np.ndarray) -> np.ndarray:
-        n = np.array([x[1] for x in own], float)
-        p = np.array([(x[2], x[3], uniform) for x in own])
+    def em(own: np.ndarray, start: np.ndarray) -> np.ndarray:
         weights = start
         for _ in range(rounds):
-            share = weights * p
+            share = weights * p[own]
             share /= share.sum(axis=1, keepdims=True)
-            weights = (share * n[:, None]).sum(axis=0) / n.sum()
+            weights = (share * n[own][:, None]).sum(axis=0) / n[own].sum()
             weights = np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum()
         return weights
 
-    start = np.array([0.4, 0.5, 0.1])
-    shared = em(cells, start) if cells else start
-    out = np.array([em(own, shared) if (own := [c for c in cells if c[0] == b]) else shared for b in range(BUCKETS)])
-    out[0] = [0.0, *(out[0, 1:] / out[0, 1:].sum())]
+    start = np.array([*[0.9 / order] * order, 0.1])
+    shared = em(np.ones(len(cells), bool), start) if cells else start
+    out = np.array([em(bucket == b, shared) if (bucket == b).any() else shared for b in range(BUCKETS)])
+    if order > 1:
+        out[0] = [0.0, *(out[0, 1:] / out[0, 1:].sum())]
     return out
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 2, chunk_bytes: int = 8 << 20, weights: np.ndarray | None = None, fan: int = FAN) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    Learns from the rows where `training` holds. A null or empty text is one end token. A row without a key is in training
-    if `training` holds for it. Repeated rows count and are scored each. An empty table gives no rows; if nothing is
-    trained on, train_tokens is 0 and the uniform part alone gives probabilities. Other columns are left out. `score` is
-    the log10 probability under the model, `base_score` under add-one unigrams.
+    Learns from the rows where `training` holds; n-grams have up to `order` words, 1 to 3. A null or empty text is one end
+    token. A row without a key is in training if `training` holds for it. Repeated rows count and are scored each. An empty
+    table gives no rows; if nothing is trained on, train_tokens is 0 and the uniform part alone gives probabilities. Other
+    columns are left out, whatever their names. `score` is the log10 probability under the model, `base_score` under add-one
+    unigrams. `weights` (by bucket, as `learn` gives them) are learned unless given.
     """
+    if order not in CELLS:
+        raise ValueError("orders 1 to 3 are known")
     spark = docs.sparkSession
-    many, chunk = chunks(docs, text, chunk_bytes, F.col(key))
     learns = F.coalesce(training, F.lit(False))
     deleted = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(DELETED)) == 0
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(~learns, 0).when(deleted, 2).otherwise(1).cast("tinyint").alias("role"), chunk.alias("chunk"))
-    em_rows = rows.where("role = 2").withColumn("chunk", -1 - F.pmod(F.xxhash64("chunk", "key"), F.lit(max(1, -(-many // DELETED)))))
-    asked = rows.unionByName(em_rows).select("chunk", "text", "role").groupBy("chunk").applyInArrow(requests(many), REQUEST)
-    answers = settle(asked.groupBy("range").applyInArrow(replies, REPLY))
-    sums = answers.where("chunk is null").agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first()
+    role = F.when(~learns, 0).when(deleted, 2).otherwise(1).cast("tinyint").alias("role")
+    many, rows = chunked(docs, text, chunk_bytes, F.col(key).alias("key"), F.col(text).alias("text"), role)
+    em_rows = rows.where("role = 2").withColumn("chunk", -1 - F.pmod(F.xxhash64("_row", F.lit(3)), F.lit(max(1, -(-many // DELETED)))))
+    both = rows if weights is not None else rows.unionByName(em_rows)
+    parts = min(many, fan)
+    requested = both.select("chunk", "text", "role").groupBy("chunk").applyInArrow(requests(parts, order), ASK)
+    answers = settle(exchange(requested, bits_of(order), many, parts, (1, START), fan))
+    sums = answers.where("chunk is null").agg(*(F.sum(F.col("sums")[i]) for i in range(3))).first()
     tokens, types, kept_tokens = (int(x or 0) for x in sums)
     uniform = 1.0 / (types + 1)
+    steps, cells_each = CELLS[order]
 
     def histogram(own: pa.Table, found: pa.Table) -> pa.Table:
-        out = {"bucket": [], "cell": [], "n": [], "log2": [], "log1": []}
+        out: dict = {"bucket": [], "cell": [], "n": []} | {f"log{i}": [] for i in range(order)}
         if own.num_rows:
-            c1, context, c2, _ = token_counts(own, found)
-            p2, p1 = estimates(c1, context, c2, kept_tokens)
-            step = lambda p: np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, CELLS - 2), CELLS - 1).astype(int)
-            code, place = np.unique((bucket_of(context) * CELLS + step(p2)) * CELLS + step(p1), return_inverse=True)
-            n = np.bincount(place)
-            out = {"bucket": code // CELLS**2, "cell": code % CELLS**2, "n": n} | {
-                k: np.bincount(place, np.log(np.maximum(p, 1e-300))) for k, p in (("log2", p2), ("log1", p1))
-            }
-        return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "cell", "n") else pa.float64()) for k, v in out.items()})
-
-    em_docs = em_rows.select("chunk", "text").groupBy("chunk").cogroup(answers.where("chunk < 0").groupBy("chunk"))
-    cells = em_docs.applyInArrow(histogram, "bucket long, cell long, n long, log2 double, log1 double")
-    cells = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), F.sum("log2").alias("log2"), F.sum("log1").alias("log1"))
-    at_zero = CELLS - 1  # at most BUCKETS * CELLS ** 2 cells come to the driver
-    found = [(r.bucket, r.n, 0.0 if r.cell // CELLS == at_zero else np.exp(r.log2 / r.n), 0.0 if r.cell % CELLS == at_zero else np.exp(r.log1 / r.n)) for r in cells.collect()]
-    weights = spark.sparkContext.broadcast(learn(found, uniform))
+            counts, contexts, _ = token_counts(own, found, order)
+            ps = estimates(counts, contexts, kept_tokens)
+            code = buckets_of(contexts, len(ps[0])).astype(np.int64)
+            for p in ps:
+                step = np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * steps), 0, cells_each - 2), cells_each - 1)
+                code = code * cells_each + step.astype(np.int64)
+            code, place = np.unique(code, return_inverse=True)
+            out = {"bucket": code // cells_each**order, "cell": code % cells_each**order, "n": np.bincount(place)} | {f"log{i}": np.bincount(place, np.log(np.maximum(p, 1e-300))) for i, p in enumerate(ps)}
+        return pa.table({k: pa.array(v, pa.float64() if k.startswith("log") else pa.int64()) for k, v in out.items()})
+
+    if weights is None:
+        logs = [f"log{i}" for i in range(order)]
+        em_docs = em_rows.select("chunk", "text").groupBy("chunk").cogroup(answers.where("chunk < 0").groupBy("chunk"))
+        cells = em_docs.applyInArrow(histogram, "bucket long, cell long, n long, " + ", ".join(f"{x} double" for x in logs))
+        cells = cells.groupBy("bucket", "cell").agg(*(F.sum(x).alias(x) for x in ("n", *logs)))
+        found = []  # at most BUCKETS * cells_each ** order cells come to the driver
+        for r in cells.collect():
+            digits = [r.cell // cells_each ** (order - 1 - i) % cells_each for i in range(order)]
+            found.append((r.bucket, r.n, *(0.0 if d == cells_each - 1 else float(np.exp(r[x] / r.n)) for d, x in zip(digits, logs, strict=True))))
+        weights = learn(sorted(found), uniform, order)
+    shared = spark.sparkContext.broadcast(weights)
 
     def scored(own: pa.Table, given: pa.Table) -> pa.Table:
         if own.num_rows:
-            c1, context, c2, lengths = token_counts(own, given)
-            p2, p1 = estimates(c1, context, c2, tokens)
-            w = weights.value[bucket_of(context)]
-            model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform)
+            counts, contexts, lengths = token_counts(own, given, order)
+            w = shared.value[buckets_of(contexts, len(counts[0]))]
+            total = w[:, -1] * uniform
+            for i, p in enumerate(estimates(counts, contexts, tokens)):
+                total = total + w[:, i] * p
             first = np.cumsum(lengths) - lengths
-            base = np.log10((c1 + 1) / (tokens + 1 * (types + 1)))
-            sums = [np.add.reduceat(x, first) for x in ((c1 > 0).astype(np.int64), base, model)]
+            base = np.log10((counts[0] + 1) / (tokens + 1 * (types + 1)))
+            sums = [np.add.reduceat(x, first) for x in ((counts[0] > 0).astype(np.int64), base, np.log10(total))]
         else:
             lengths, sums = [], [[], [], []]
         return pa.table({"key": own.column("key"), "held_out": pa.array([r == 0 for r in own.column("role").to_pylist()], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(sums[0], pa.int64()), "train_tokens": pa.array([tokens] * own.num_rows, pa.int64()), "base_score": pa.array(sums[1], pa.float64()), "score": pa.array(sums[2], pa.float64())})
 
     kind = rows.schema["key"].dataType.simpleString()
-    final = rows.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
+    final = rows.drop("_row").groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
     out = final.applyInArrow(scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

@@ -1,124 +1,209 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-Candidates lie in blocks. For every dimension a block has a list of its components, sorted; a query reads the list from the
-top where its own component is positive and from the bottom where it is negative. Lists are only read in their order, in
-steps of growing depth, for a whole block of queries at once. At any depth a candidate's upper score bound takes the
-list's frontier for each component that was not read yet, its lower bound the list's far end. A candidate is out once its
-upper bound is below the query's k-th best lower bound. Reading stops when nothing unread can qualify and at most k
-candidates are left, or at the lists' end; then bounds and scores are one, and the block's best k are known. Integers are
-summed exactly, so ties are true ties and go to the smaller identifier.
+Candidates stay in their partitions and are taken a block at a time. For every dimension a block has a list of its
+components, sorted; a query reads a list from the top where its own component is positive and from the bottom where it is
+negative, and leaves it out where it is zero. Lists are only read in their order, step by step, and deeper where the query's
+component is larger, as its square root: there the frontier falls faster.
+
+After a step, `frontier` is the sum of the products at the places that were reached: no vector can score more in what was
+not read. A candidate that was met has that bound plus, for each of its components that was read, what its product lies
+above the frontier's; its lower bound takes the lists' far ends instead. The bar is the k-th best score so far, over the
+blocks before as well as by this block's lower bounds. Reading stops once candidates not met cannot reach the bar and few of
+those met can; a block whose list heads add up to less than the bar is not read at all. The few are resolved: their final
+scores are summed in integers, so ties are true ties and go to the smaller identifier.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares of the lists that are read, step by step.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
 LONGEST = 2**63 - 1
+#: Share of the lists that the first step reads, and how it grows from step to step.
+FIRST, GROWTH = 1 / 9, 1.5
+#: Reading goes on while more than k and more than one of this many of a block's candidates may qualify.
+FEW = 64
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """key and `v`, floor(scale * x) as 64-bit integers; rows without a key, or with a null or non-finite component, go."""
+    """id and `v`, floor(scale * x) as 64-bit integers; rows without a key, or with a null or non-finite component, go."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite)
     return rows.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
 
 
-def blocks(rows: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about `size` vectors of equal length: dim, block, n, ids and values as binary; and how
-    many blocks there are. Blocks are dealt by a hash of the identifier, so equal vectors do not meet in one block.
-    """
-    many = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(many)))
+class Lists:
+    """The sorted lists of a block of candidates."""
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i in range(0, len(group), 2 * size):  # a block of repeated identifiers is cut again
-            part = group.iloc[i : i + 2 * size].sort_values("id")
-            values = np.array(part["v"].tolist(), dtype="<i8").reshape(len(part), -1)
-            out.append((int(part["dim"].iloc[0]), int(part["block"].iloc[0]), len(part), part["id"].to_numpy("<i8").tobytes(), values.tobytes()))
-        return pd.DataFrame(out, columns=["dim", "block", "n", "ids", "values"])
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values  # (n,), (n, dim) integers
+        by_list = np.ascontiguousarray(values.T).astype(np.float64)
+        self.up = np.argsort(by_list, axis=1, kind="stable")
+        self.at_up = np.take_along_axis(by_list, self.up, axis=1)
+        self.down, self.at_down = np.ascontiguousarray(self.up[:, ::-1]), np.ascontiguousarray(self.at_up[:, ::-1])
 
-    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, n int, ids binary, values binary"), many
+    def heads(self, queries: np.ndarray) -> np.ndarray:
+        """What no vector of the block can exceed, by query."""
+        return np.maximum(queries, 0) @ self.at_down[:, 0] + np.minimum(queries, 0) @ self.at_up[:, 0]
 
 
-class Lists:
-    """The sorted lists of a block of candidates, and the bounds that reading them to a depth gives."""
+@dataclass
+class Reading:
+    """What was read: entries of lists, of how many, and how many candidates were resolved."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values  # (n,), (n, dim) float64 that hold integers
-        self.ordered = np.sort(values, axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries, candidates) after `depth` entries of each list were read."""
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        high, low = self.ordered[len(self.ids) - depth], self.ordered[depth - 1]  # frontiers from the top and the bottom
-        # unread components are at most the frontier; the lower bound takes the other end for them
-        upper = plus @ np.maximum(self.values, high).T + minus @ np.minimum(self.values, low).T
-        lower = plus @ np.where(self.values >= high, self.values, self.ordered[0]).T + minus @ np.where(self.values <= low, self.values, self.ordered[-1]).T
-        return lower, upper
-
-
-def best_of_block(queries: np.ndarray, own: np.ndarray, lists: Lists, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, candidate ids, scores) of the best `k` of a block, ties to smaller ids; `own` are the queries' ids."""
-    left = np.arange(len(queries))
+    entries: int = 0
+    of: int = 0
+    resolved: int = 0
+
+
+def qualified(lists: Lists, query: np.ndarray, bar: float, k: int, own: np.ndarray | None, log: Reading, share: float = FIRST) -> tuple[np.ndarray, float]:
+    """Places of the candidates that may be among the best `k`: all others lie below `bar` or below k of these; and the
+    share of the lists that was read, `share` or more."""
     n = len(lists.ids)
-    for share in DEPTHS:
-        depth = max(1, int(np.ceil(share * n)))
-        lower, upper = lists.bounds(queries[left], depth)
-        self_row = lists.ids[None, :] == own[left][:, None]
-        lower[self_row] = upper[self_row] = -np.inf
-        most = min(k, n)
-        bar = np.partition(lower, n - most, axis=1)[:, n - most]
-        alive = upper >= bar[:, None]
-        alive &= upper > -np.inf
-        # a query is settled when its survivors' bounds have met
-        done = ~(alive & (lower != upper)).any(axis=1)
-        for at in np.flatnonzero(done):
-            c = np.flatnonzero(alive[at])
-            order = sorted(range(len(c)), key=lambda i: (-upper[at, c[i]], lists.ids[c[i]]))[:k] if upper.dtype == object else np.lexsort((lists.ids[c], -upper[at, c]))[:k]
-            yield int(left[at]), lists.ids[c[order]], upper[at, c[order]]
-        left = left[~done]
-        if not len(left):
-            return
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, candidate_block: int = 4096, query_block: int = 512) -> DataFrame:
+    use = np.flatnonzero(query).tolist()
+    read = [(lists.down[j], lists.at_down[j], query[j]) if query[j] > 0 else (lists.up[j], lists.at_up[j], query[j]) for j in use]
+    far = sum(at[-1] * q for _, at, q in read)
+    steep = np.sqrt(np.abs(query[use]))
+    log.of += len(use) * n
+    unknown = bar == -np.inf  # later blocks have a bar that their own lower bounds would hardly raise
+    while True:
+        depths = np.clip(share * n * steep / steep.mean(), 1, n).astype(int) if use else np.zeros(0, int)
+        full = bool((depths == n).all())
+        met = [np.empty(0, np.int64), *(order[:d] for (order, _, _), d in zip(read, depths.tolist(), strict=True))]
+        place, gain, rise, frontier = np.concatenate(met), [np.empty(0)], [np.empty(0)], 0.0
+        for (_, at, q), d in zip(read, depths.tolist(), strict=True):
+            product = at[:d] * q
+            frontier += product[-1]
+            gain.append(product - product[-1])
+            if unknown:
+                rise.append(product - at[-1] * q)
+        upper = np.bincount(place, np.concatenate(gain), n) + frontier
+        if own is not None:
+            upper[own] = -np.inf
+        if unknown and n > k:
+            lower = np.bincount(place, np.concatenate(rise), n) + far
+            if own is not None:
+                lower[own] = -np.inf
+            bar = max(bar, np.partition(lower, n - k)[n - k])
+        left = np.flatnonzero(upper >= bar)
+        # a candidate that was not met has the frontier as its upper bound, so it is among these if it can qualify
+        if full or len(left) <= max(k, n // FEW):
+            log.entries += int(depths.sum())
+            log.resolved += len(left)
+            return left[upper[left] > -np.inf], share
+        share *= GROWTH
+
+
+class Best:
+    """The best `k` of each query so far, over blocks."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.plain = queries.astype(np.float64)
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), best first
+        self.share = [FIRST * GROWTH] * len(ids)  # what the block before was read to
+        self.log = Reading()
+
+    def add(self, ids: np.ndarray, values: np.ndarray) -> None:
+        most = float(np.abs(self.plain).max(initial=0)) * float(np.abs(values.astype(np.float64)).max(initial=0)) * max(values.shape[1], 1)
+        if most >= 2.0**52:  # beyond that doubles are not exact: sums are taken in Python's integers, of all candidates
+            return self.in_python(ids, values)
+        lists = Lists(ids, values)
+        heads = lists.heads(self.plain) if len(ids) else None
+        by_id = np.argsort(ids, kind="stable")
+        first, end = np.searchsorted(ids[by_id], self.ids, "left"), np.searchsorted(ids[by_id], self.ids, "right")
+        for i, query in enumerate(self.plain):
+            found = self.found[i]
+            bar = -found[-1][0] if len(found) == self.k else -np.inf
+            if heads[i] < bar:
+                self.log.of += np.count_nonzero(query) * len(ids)
+                continue
+            own = by_id[first[i] : end[i]] if end[i] > first[i] else None
+            left, self.share[i] = qualified(lists, query, bar, self.k, own, self.log, max(FIRST, self.share[i] / GROWTH))
+            scores = values[left] @ self.queries[i]
+            order = np.lexsort((ids[left], -scores))[: self.k]
+            self.keep(i, zip((-scores[order]).tolist(), ids[left[order]].tolist(), strict=True))
+
+    def in_python(self, ids: np.ndarray, values: np.ndarray) -> None:
+        held = values.astype(object)
+        for i, query in enumerate(self.queries.astype(object)):
+            scores = (min(max(int(s), -LONGEST - 1), LONGEST) for s in held @ query)
+            self.keep(i, sorted((-s, int(x)) for s, x in zip(scores, ids, strict=True) if x != self.ids[i])[: self.k])
+
+    def keep(self, i: int, more) -> None:
+        self.found[i] = sorted([*self.found[i], *more])[: self.k]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, block: int = 4096, query_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's `k` highest inner products among all vectors but its own.
 
     Components are floor(scale * x), x as a double; score is their integer inner product, ties go to the smaller vec_id.
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an identifier; a query
-    is compared with vectors of its own length. Rows with a query's identifier are its own. An identifier that is repeated
-    is ranked once for each row. Fewer candidates than k give all of them; without queries or candidates there are no rows.
-    Scaled components and scores beyond 64 bits are held at the ends of that range. Every block of queries meets every block of candidates once, in a task of its own.
+    is compared with vectors of its own length. Rows with a query's identifier are its own; of several queries of one
+    identifier one is asked. An identifier that is repeated is ranked once for each row. Fewer candidates than k give all of
+    them; without queries or candidates there are no rows; other columns are left out. Scaled components and scores beyond
+    64 bits are held at the ends of that range.
+
+    Candidates are never moved: queries go to them, dealt by a hash of their identifier into sets of about `query_bytes`
+    that are broadcast one after the other. A task hands on at most k rows for each query.
     """
-    all_rows, asked = quantised(vectors, key, vector, scale), quantised(queries, key, vector, scale).dropDuplicates(["id"])
-    right, _ = blocks(all_rows, candidate_block, 1)
-    left, many = blocks(asked, query_block, 2)
-    right = right.select("dim", F.col("block").alias("at"), F.col("n").alias("cn"), F.col("ids").alias("ci"), F.col("values").alias("cv"))
-    dealt = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")))
-    pairs = dealt.join(left, ["dim", "block"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                q = np.frombuffer(r.values, "<i8").reshape(r.n, -1)
-                c = np.frombuffer(r.cv, "<i8").reshape(r.cn, -1)
-                # doubles hold integers below 2**53 exactly; beyond, sums are taken in Python's integers
-                most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(q.shape[1], 1)
-                kind = np.float64 if most < 2.0**53 else object
-                ids = np.frombuffer(r.ids, "<i8")
-                lists = Lists(np.frombuffer(r.ci, "<i8"), c.astype(kind))
-                out = [(ids[at], i, min(max(int(s), -LONGEST - 1), LONGEST)) for at, found, scores in best_of_block(q.astype(kind), ids, lists, k) for i, s in zip(found, scores, strict=True)]
-                yield pd.DataFrame({name: np.array([x[i] for x in out], np.int64) for i, name in enumerate(("query_id", "vec_id", "score"))})
-
-    found = pairs.repartition(F.col("at"), F.col("block")).select("n", "ids", "values", "cn", "ci", "cv").mapInPandas(run, "query_id long, vec_id long, score long")
+    candidates = quantised(vectors, key, vector, scale)
+    asked = quantised(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
+    size = asked.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
+    sets = max(1, -(-size // query_bytes))
+    rows = [found_by_task(candidates, asked.where(F.pmod(F.xxhash64("id"), F.lit(sets)) == i).toArrow(), k, block) for i in range(sets)]
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def found_by_task(candidates: DataFrame, asked: pa.Table, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: the best `k` of each task's candidates for each query."""
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    ids, flat, cuts = columns(asked)
+    for dim in np.unique(np.diff(cuts)).tolist():
+        own = np.flatnonzero(np.diff(cuts) == dim)
+        by_dim[dim] = ids[own], flat[cuts[own][:, None] + np.arange(dim)] if dim else np.empty((len(own), 0), np.int64)
+    shared = candidates.sparkSession.sparkContext.broadcast(by_dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: Best(*own, k) for dim, own in shared.value.items()}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {dim: [] for dim in best}
+
+        def read(dim: int) -> None:
+            if held[dim]:
+                best[dim].add(*(np.concatenate(x) for x in zip(*held[dim], strict=True)))
+                held[dim] = []
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                ids, flat, cuts = columns(batch.slice(start, block))
+                for dim in np.unique(np.diff(cuts)).tolist():
+                    if dim not in best:
+                        continue
+                    own = np.flatnonzero(np.diff(cuts) == dim)
+                    held[dim].append((ids[own], flat[cuts[own][:, None] + np.arange(dim)]))
+                    if sum(len(x) for x, _ in held[dim]) >= block:
+                        read(dim)
+        for dim, own in best.items():
+            read(dim)
+            out = [(int(q), i, -s) for q, found in zip(own.ids, own.found, strict=True) for s, i in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def columns(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers, all components in a row, and where each vector's begin, with the end."""
+    v = rows.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    cuts = np.concatenate([[0], np.cumsum(np.asarray(v.value_lengths(), np.int64))]).astype(np.int64)
+    return rows.column("id").to_numpy(), np.asarray(v.flatten(), np.int64), cuts

@@ -344,7 +344,7 @@ def test_topk_equals_brute_force(spark):
     vectors += [(400 + i, vectors[0][1]) for i in range(30)]  # ties
     vectors += [(900, None), (901, [1.0] * 5 + [float("nan")]), (902, [None] * 6), (903, [1.0, 2.0]), (950, []), (None, vectors[0][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    rows = topk_search.search(df, df.where("vec_id % 50 = 0"), candidate_block=60, query_block=3).collect()
+    rows = topk_search.search(df, df.where("vec_id % 50 = 0"), block=60, query_bytes=400).collect()
     clean = {i: [math.floor(256 * x) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     found = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
