@@ -1,16 +1,16 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
 Candidates stay in their partitions and are taken a block at a time. For every dimension a block has a list of its
-components, sorted; a query reads a list from the top where its own component is positive and from the bottom where it is
-negative, and leaves it out where it is zero. Lists are only read in their order, step by step, and deeper where the query's
-component is larger, as its square root: there the frontier falls faster.
-
-After a step, `frontier` is the sum of the products at the places that were reached: no vector can score more in what was
-not read. A candidate that was met has that bound plus, for each of its components that was read, what its product lies
-above the frontier's; its lower bound takes the lists' far ends instead. The bar is the k-th best score so far, over the
-blocks before as well as by this block's lower bounds. Reading stops once candidates not met cannot reach the bar and few of
-those met can; a block whose list heads add up to less than the bar is not read at all. The few are resolved: their final
-scores are summed in integers, so ties are true ties and go to the smaller identifier.
+components, sorted; queries read a list from the top where their own component is positive and from the bottom where it is
+negative. Lists are only read in their order, all to the same depth, which grows step by step; what one reading gives serves
+all queries of a set that are still open, so the bounds of a step are two matrix products over them.
+
+After a step a query's `frontier` is the sum of the products at the places that were reached: no vector can score more in
+what was not read. A candidate that was met has that bound plus, for each of its components that was read, what its product
+lies above the frontier's; its lower bound takes the lists' far ends instead. The bar is the k-th best score so far, over the
+blocks before; the first block takes the k-th best lower bound. A query stops once candidates not met cannot reach the bar
+and few of those met can; it does not begin on a block whose list heads add up to less than its bar. The few are resolved:
+their final scores are summed in integers, so ties are true ties and go to the smaller identifier.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LONGEST = 2**63 - 1
-#: Share of the lists that the first step reads, and how it grows from step to step.
-FIRST, GROWTH = 1 / 9, 1.5
+#: Share of the lists that the first step on the first block reads, and how it grows from step to step.
+FIRST, GROWTH = 1 / 4, 1.25
 #: Reading goes on while more than k and more than one of this many of a block's candidates may qualify.
-FEW = 64
+FEW = 32
+#: So many queries share a reading.
+QUERIES = 512
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -41,62 +43,66 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFr
 class Lists:
     """The sorted lists of a block of candidates."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values  # (n,), (n, dim) integers
-        by_list = np.ascontiguousarray(values.T).astype(np.float64)
+    def __init__(self, ids: np.ndarray, values: np.ndarray, kind: type):
+        self.ids, self.values, self.kind = ids, values, kind  # (n,), (n, dim) integers
+        by_list = np.ascontiguousarray(values.T).astype(kind)
         self.up = np.argsort(by_list, axis=1, kind="stable")
-        self.at_up = np.take_along_axis(by_list, self.up, axis=1)
-        self.down, self.at_down = np.ascontiguousarray(self.up[:, ::-1]), np.ascontiguousarray(self.at_up[:, ::-1])
+        self.at = np.take_along_axis(by_list, self.up, axis=1)
 
-    def heads(self, queries: np.ndarray) -> np.ndarray:
+    def heads(self, plus: np.ndarray, minus: np.ndarray) -> np.ndarray:
         """What no vector of the block can exceed, by query."""
-        return np.maximum(queries, 0) @ self.at_down[:, 0] + np.minimum(queries, 0) @ self.at_up[:, 0]
+        return plus @ self.at[:, -1] + minus @ self.at[:, 0]
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What `depth` entries from either end give: for each candidate and list, what the component lies above the upper
+        frontier and below the lower one, 0 where it was not read; and the frontiers."""
+        n = len(self.ids)
+        high, low = self.at[:, n - depth], self.at[:, depth - 1]
+        above, below = np.zeros((2, len(high), n), self.kind)
+        np.put_along_axis(above, self.up[:, n - depth :], self.at[:, n - depth :] - high[:, None], axis=1)
+        np.put_along_axis(below, self.up[:, :depth], self.at[:, :depth] - low[:, None], axis=1)
+        return above, below, high, low
 
 
 @dataclass
 class Reading:
-    """What was read: entries of lists, of how many, and how many candidates were resolved."""
+    """What was read: entries of lists by the queries, of how many there are, and how many candidates were resolved."""
 
     entries: int = 0
     of: int = 0
     resolved: int = 0
 
 
-def qualified(lists: Lists, query: np.ndarray, bar: float, k: int, own: np.ndarray | None, log: Reading, share: float = FIRST) -> tuple[np.ndarray, float]:
-    """Places of the candidates that may be among the best `k`: all others lie below `bar` or below k of these; and the
-    share of the lists that was read, `share` or more."""
-    n = len(lists.ids)
-    use = np.flatnonzero(query).tolist()
-    read = [(lists.down[j], lists.at_down[j], query[j]) if query[j] > 0 else (lists.up[j], lists.at_up[j], query[j]) for j in use]
-    far = sum(at[-1] * q for _, at, q in read)
-    steep = np.sqrt(np.abs(query[use]))
-    log.of += len(use) * n
-    unknown = bar == -np.inf  # later blocks have a bar that their own lower bounds would hardly raise
-    while True:
-        depths = np.clip(share * n * steep / steep.mean(), 1, n).astype(int) if use else np.zeros(0, int)
-        full = bool((depths == n).all())
-        met = [np.empty(0, np.int64), *(order[:d] for (order, _, _), d in zip(read, depths.tolist(), strict=True))]
-        place, gain, rise, frontier = np.concatenate(met), [np.empty(0)], [np.empty(0)], 0.0
-        for (_, at, q), d in zip(read, depths.tolist(), strict=True):
-            product = at[:d] * q
-            frontier += product[-1]
-            gain.append(product - product[-1])
-            if unknown:
-                rise.append(product - at[-1] * q)
-        upper = np.bincount(place, np.concatenate(gain), n) + frontier
-        if own is not None:
-            upper[own] = -np.inf
-        if unknown and n > k:
-            lower = np.bincount(place, np.concatenate(rise), n) + far
-            if own is not None:
-                lower[own] = -np.inf
-            bar = max(bar, np.partition(lower, n - k)[n - k])
-        left = np.flatnonzero(upper >= bar)
-        # a candidate that was not met has the frontier as its upper bound, so it is among these if it can qualify
-        if full or len(left) <= max(k, n // FEW):
-            log.entries += int(depths.sum())
-            log.resolved += len(left)
-            return left[upper[left] > -np.inf], share
+def qualified(lists: Lists, plus: np.ndarray, minus: np.ndarray, bars: np.ndarray, own: list, k: int, share: float, log: Reading) -> Iterator[tuple[int, np.ndarray, float]]:
+    """For each query (its positive and its negative components) the places of the candidates that may be among the best
+    `k`, others being below its bar or below k of these, and the share of the lists that was read, `share` or more."""
+    n, dim = len(lists.ids), len(lists.at)
+    log.of += len(bars) * n * dim
+    left = np.flatnonzero(lists.heads(plus, minus) >= bars)
+    while len(left):
+        depth = min(n, max(1, int(share * n)))
+        above, below, high, low = lists.read(depth)
+        p, m = plus[left], minus[left]
+        upper = p @ above + m @ below + (p @ high + m @ low)[:, None]
+        bar = bars[left]
+        for at, i in enumerate(left.tolist()):
+            if own[i] is not None:
+                upper[at, own[i]] = -np.inf
+        if n > k and (unknown := np.flatnonzero(bar == -np.inf)).size:
+            # unread components are at least the far end of their list
+            rise = lists.at[:, :1], lists.at[:, -1:]
+            met = [np.where(read != 0, read + (front[:, None] - far), 0) for read, front, far in zip((above, below), (high, low), rise, strict=True)]
+            lower = p[unknown] @ met[0] + m[unknown] @ met[1] + (p[unknown] @ lists.at[:, 0] + m[unknown] @ lists.at[:, -1])[:, None]
+            lower[upper[unknown] == -np.inf] = -np.inf
+            bar[unknown] = np.partition(lower, n - k, axis=1)[:, n - k]
+        may = (upper >= bar[:, None]) & (upper > -np.inf)
+        few = (may.sum(axis=1) <= max(k, n // FEW)) | (depth == n)
+        for at in np.flatnonzero(few).tolist():
+            places = np.flatnonzero(may[at])
+            log.entries += depth * dim
+            log.resolved += len(places)
+            yield int(left[at]), places, share
+        left = left[~few]
         share *= GROWTH
 
 
@@ -105,30 +111,30 @@ class Best:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
-        self.plain = queries.astype(np.float64)
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), best first
-        self.share = [FIRST * GROWTH] * len(ids)  # what the block before was read to
+        self.share = FIRST * GROWTH  # what most queries read of the block before
         self.log = Reading()
 
     def add(self, ids: np.ndarray, values: np.ndarray) -> None:
-        most = float(np.abs(self.plain).max(initial=0)) * float(np.abs(values.astype(np.float64)).max(initial=0)) * max(values.shape[1], 1)
-        if most >= 2.0**52:  # beyond that doubles are not exact: sums are taken in Python's integers, of all candidates
+        most = float(np.abs(self.queries.astype(float)).max(initial=0)) * float(np.abs(values.astype(float)).max(initial=0)) * max(values.shape[1], 1)
+        if most >= 2.0**50:  # beyond that doubles are not exact: sums are taken in Python's integers, of all candidates
             return self.in_python(ids, values)
-        lists = Lists(ids, values)
-        heads = lists.heads(self.plain) if len(ids) else None
+        kind = np.float32 if most < 2.0**22 else np.float64
+        lists, plain = Lists(ids, values, kind), self.queries.astype(kind)
         by_id = np.argsort(ids, kind="stable")
         first, end = np.searchsorted(ids[by_id], self.ids, "left"), np.searchsorted(ids[by_id], self.ids, "right")
-        for i, query in enumerate(self.plain):
-            found = self.found[i]
-            bar = -found[-1][0] if len(found) == self.k else -np.inf
-            if heads[i] < bar:
-                self.log.of += np.count_nonzero(query) * len(ids)
-                continue
-            own = by_id[first[i] : end[i]] if end[i] > first[i] else None
-            left, self.share[i] = qualified(lists, query, bar, self.k, own, self.log, max(FIRST, self.share[i] / GROWTH))
-            scores = values[left] @ self.queries[i]
-            order = np.lexsort((ids[left], -scores))[: self.k]
-            self.keep(i, zip((-scores[order]).tolist(), ids[left[order]].tolist(), strict=True))
+        own = [by_id[a:b] if b > a else None for a, b in zip(first, end, strict=True)]
+        bars = np.array([-x[-1][0] if len(x) == self.k else -np.inf for x in self.found], kind)
+        shares = []
+        for start in range(0, len(bars), QUERIES):
+            part = slice(start, start + QUERIES)
+            for i, left, share in qualified(lists, np.maximum(plain[part], 0), np.minimum(plain[part], 0), bars[part], own[part], self.k, max(FIRST, self.share / GROWTH), self.log):
+                shares.append(share)
+                scores = values[left] @ self.queries[start + i]
+                order = np.lexsort((ids[left], -scores))[: self.k]
+                self.keep(start + i, zip((-scores[order]).tolist(), ids[left[order]].tolist(), strict=True))
+        if shares:
+            self.share = min(1.0, float(np.median(shares)))
 
     def in_python(self, ids: np.ndarray, values: np.ndarray) -> None:
         held = values.astype(object)
