@@ -4,7 +4,8 @@ Every partition of the input makes one run: its digests, each once, with the bes
 values of its texts. Runs then meet in rounds: in each of them `fan_in` neighbouring runs, a
 power of two, are merged into one, each digest range by a task of its own, until one run is left, spread over its ranges. A digest takes part at most once per
 run, so a text that is copied a million times weighs as much as one that is copied once. At every level the identifier is
-kept only if the check values (a second digest and the length) of all merged texts agree; if they do not, the job fails.
+kept only if the check values (a second digest and the length) of all merged texts agree; if they do not, the job fails. The
+rows then learn what stays; digests of very many rows are broadcast for that, so that their rows do not meet in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, spread_join
 
 
 def digests(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,6 +60,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
     table gives no rows.
     """
     rows = settle(digests(docs, key, text))
-    best = keepers(rows, keep, fan_in).select(F.col("text_sha256"), F.col("key").alias("keep_id"), F.col("n").alias("group_size"))
-    out = rows.join(best, "text_sha256")
+    best = settle(keepers(rows, keep, fan_in).select(F.col("text_sha256"), F.col("key").alias("keep_id"), F.col("n").alias("group_size")))
+    out = spread_join(rows, best, ["text_sha256"], "group_size")
     return out.select(F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -30,27 +30,26 @@ def words_of(text: bytes) -> list[str]:
 
 
 class Model:
-    """Tables of log frequencies: words, and character n-grams by order. Their sizes are bounded by the fit's parameters."""
+    """Tables of log frequencies: words, and character n-grams by order. The sample that they come from bounds their sizes."""
 
     def __init__(self, langs: list[str], words: dict[str, bytes], grams: list[tuple[int, dict[str, int], np.ndarray]], floor: np.ndarray):
         self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
         self.name = uuid.uuid4().hex
 
     @classmethod
-    def of(cls, counts: dict[str, Counter], most_words: int, most_grams: int, orders: tuple[int, ...], smooth: float = 0.5) -> Model:
+    def of(cls, counts: dict[str, Counter], orders: tuple[int, ...], smooth: float = 0.5) -> Model:
         """From each language's word counts; `orders` from the longest n-gram to the shortest."""
         langs = sorted(counts)
 
-        def table(by_lang: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
+        def table(by_lang: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
             total = np.array([c.total() for c in by_lang], dtype=float)
             both: Counter = Counter()
             for c in by_lang:
                 both.update(c)
-            kept = sorted(both, key=lambda k: (-both[k], k))[:most]
-            rows = np.array([[c[k] for c in by_lang] for k in kept], dtype=float).reshape(len(kept), len(langs))
-            return {k: i for i, k in enumerate(kept)}, np.log((rows + smooth) / (total + smooth * max(1, len(both)))).astype(np.float32)
+            rows = np.array([[c[k] for c in by_lang] for k in both], dtype=float).reshape(len(both), len(langs))
+            return {k: i for i, k in enumerate(both)}, np.log((rows + smooth) / (total + smooth * max(1, len(both)))).astype(np.float32)
 
-        places, rows = table([counts[x] for x in langs], most_words)
+        places, rows = table([counts[x] for x in langs])
         grams = []
         for n in orders:
             by_lang = []
@@ -61,7 +60,7 @@ class Model:
                     for i in range(len(padded) - n + 1):
                         c[padded[i : i + n]] += k
                 by_lang.append(c)
-            grams.append((n, *table(by_lang, most_grams)))
+            grams.append((n, *table(by_lang)))
         total = np.array([counts[x].total() for x in langs], dtype=float)
         return cls(langs, {w: rows[i].tobytes() for w, i in places.items()}, grams, np.log(smooth / (total + smooth)).astype(np.float32))
 
@@ -75,29 +74,31 @@ class Model:
         return self.floor.tobytes()
 
     def predict(self, words: list[str], table: dict[str, bytes]) -> tuple[str, float]:
-        """Best language, ties to the first by name, and its share of the probability."""
+        """Best language, ties to the first by name, and how clear it is: its share of the probability of one word, the mean
+        over the words taken as that word's log frequencies. Long texts are not clearer for their length alone."""
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         sums = np.frombuffer(b"".join(map(table.__getitem__, words)), np.float32).reshape(len(words), -1).sum(axis=0, dtype=np.float64)
         best = int(np.argmax(sums))
-        return self.langs[best], float(1 / np.exp(sums - sums[best]).sum())
+        return self.langs[best], float(1 / np.exp((sums - sums[best]) / len(words)).sum())
 
 
-def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1000, most_chars: int = 8_000_000, most_words: int = 60_000, most_grams: int = 20_000, orders: tuple[int, ...] = (4, 3, 2, 1)) -> Model:
+def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1000, most_chars: int = 8_000_000, orders: tuple[int, ...] = (4, 3, 2, 1)) -> Model:
     """Fit on a bounded sample of the labelled rows where `learn` holds: of each language the `docs_per_lang` rows of the
-    smallest hash of the key, as many as hold `most_chars` characters together. Rows without a language or text teach
-    nothing. The sample bounds the tables, which are broadcast; every text is predicted whole.
+    smallest hash of key and text, as many as hold `most_chars` characters together, and one at least. Rows that repeat key
+    and text teach once; rows without a language or text teach nothing; null keys teach. All words and n-grams of the sample
+    are learned. The sample bounds the tables, which are broadcast; over 500 languages raise. Every text is predicted whole.
     """
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.length(text)).alias("h"))
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
     numbers = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # languages are few
     if len(numbers) > 500:
         raise ValueError("over 500 languages do not fit the model's tables")
     if not numbers:
-        return Model.of({}, most_words, most_grams, orders)
+        return Model.of({}, orders)
     # the share of hashes that holds about twice the rows that are wanted, so that no task ranks more than those
     share = {x: (1 << 63) - 1 if n <= 2 * docs_per_lang else (1 << 64) * 2 * docs_per_lang // n - (1 << 63) for x, n in numbers.items()}
     near = F.create_map(*(c for x, h in share.items() for c in (F.lit(x), F.lit(h).cast("long"))))
-    ranked = rows.select("lang", "h", F.length("text").alias("n")).where(F.col("h") <= near[F.col("lang")])
+    ranked = rows.select("lang", "h", F.length("text").alias("n")).where(F.col("h") <= near[F.col("lang")]).distinct()
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "n")))
     cuts: dict[str, int] = {}
     held: Counter = Counter()
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     counts: dict[str, Counter] = {}
     if cuts:
         limit = F.create_map(*(c for x, h in cuts.items() for c in (F.lit(x), F.lit(h).cast("long"))))
-        chosen = rows.where(F.col("h") <= limit[F.col("lang")]).select("lang", "text")
+        chosen = rows.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[str, Counter] = {}
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         found = counted.toArrow()  # bounded by the sample's characters
         for name, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
             counts.setdefault(name, Counter())[word] = n
-    return Model.of(counts, most_words, most_grams, orders)
+    return Model.of(counts, orders)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", cache_size: int = 250_000) -> DataFrame:

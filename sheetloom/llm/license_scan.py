@@ -1,7 +1,7 @@
 """License scan: an exact set-similarity join between text blocks and license templates.
 
-A block is a sentence of a text, over as many lines as it is wrapped, a template the word set of a license sentence. A template is found in a block if
-at least `threshold` of its words are there. Words are put in one global order, rarest first by their count in the whole
+A block is a sentence of a text, over as many lines as it is wrapped, a template the word set of a license sentence. A
+template is found in a block if at least `threshold` of its words are there. Words are put in one global order, rarest first by their count in the whole
 corpus; words that no template has come before all others and can never match. Then, for a template T, a block B and the
 least overlap a = ceil(threshold * |T|): one of the first |T| - a + 1 words of T is among the first |B| - a + 1 of B
 (prefix filter), |B| >= a (length filter), and at the first common word at places i and j, 1 + min(|T| - i - 1, |B| - j - 1)
@@ -134,44 +134,78 @@ class Phrases:
         return found
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
+def grouped(templates: list[tuple[str, str]], most_words: int) -> list[list[tuple[str, str]]]:
+    """Templates in groups of about `most_words` words each; one group at least."""
+    groups, held = [[]], 0
+    for t in templates:
+        n = len(words_of(t[0].encode()))
+        if held and held + n > most_words:
+            groups.append([])
+            held = 0
+        groups[-1].append(t)
+        held += n
+    return groups
+
+
+SPAN = pa.struct([("label", pa.string()), ("block", pa.int64()), ("share", pa.float64())])
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, most_words: int = 100_000) -> DataFrame:
     """Per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score, and `spans`, an array of
     (label, block, share) with each matching block's number in its text.
 
     `score` is the largest share of a template's or phrase's words found together: 1 for a phrase, 0 if nothing is found.
     A null or empty text has no words, no spans, null places and empty labels. Repeated rows and null keys each give their
-    row; other columns are left out; an empty table gives no rows. Templates are few and given as a parameter, so their
-    side is sent with the task; the documents are never shuffled.
+    row; other columns are left out, whatever their names; an empty table gives no rows. Templates are given as a parameter,
+    so their side is sent with the task, `most_words` words of templates at a time: every further group is one more pass over
+    the rows of a task. The documents are never shuffled.
     """
-    vocabulary = {w for t, _ in templates for w in words_of(t.encode())}
-    if len(vocabulary) > 100_000:
-        raise ValueError("templates of over 100,000 words do not fit the broadcast side of this join")
-    sides = ordered(templates, global_counts(docs, vocabulary, text), threshold)
-    schema = docs.select(F.col(key)).schema
+    found_at = T.ArrayType(T.StructType().add("label", "string").add("block", "long").add("share", "double"))
+    rows = docs.select(F.col(key), F.col(text).alias("_text"))
+    schema = rows.select(F.col(key)).schema
+    *firsts, last = grouped(templates, most_words)
+    for group in firsts:
+        rows = rows.mapInArrow(spans_of(sides(docs, group, text, threshold)), T.StructType([*schema.fields]).add("_text", "string").add("spans", found_at))
     for name in ("n_words", "n_base", "first_word", "last_word"):
         schema = schema.add(name, "long")
-    schema = schema.add("base_labels", "string").add("labels", "string").add("score", "double")
-    span = pa.struct([("label", pa.string()), ("block", pa.int64()), ("share", pa.float64())])
-    found_at = T.StructType().add("label", "string").add("block", "long").add("share", "double")
-    schema = schema.add("spans", T.ArrayType(found_at))
+    schema = schema.add("base_labels", "string").add("labels", "string").add("score", "double").add("spans", found_at)
+    find, types = spans_of(sides(docs, last, text, threshold)), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, finder = Matcher(*sides), Phrases(phrases)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for t in as_bytes(batch.column(1)):
+        finder = Phrases(phrases)
+        for batch in find(batches):
+            out: list[list] = [[] for _ in types]
+            for t, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = words_of(t)
-                distinct = set(words)
-                base = finder.find(words, distinct)
-                spans = []
-                if not matcher.keys.isdisjoint(distinct):
-                    for number, block in enumerate(BLOCK_END.split(t)):
-                        spans += [{"label": f.label, "block": number, "share": share} for f, share in matcher.block(set(words_of(block)))]
+                base = finder.find(words, set(words))
                 places, names = [a for a, _ in base], {x for _, x in base}
-                row = (len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(names | {s["label"] for s in spans})), max([0.0, *(s["share"] for s in spans), *(1.0 for _ in base[:1])]), spans)
+                row = (len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(names | {s["label"] for s in spans})), max([0.0, *(s["share"] for s in spans), *(1.0 for _ in base[:1])]))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(span)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True)), batch.column(2)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def sides(docs: DataFrame, templates: list[tuple[str, str]], text: str, threshold: float) -> tuple:
+    vocabulary = {w for t, _ in templates for w in words_of(t.encode())}
+    return ordered(templates, global_counts(docs, vocabulary, text), threshold)
+
+
+def spans_of(templates_side: tuple):
+    """Batches of key, text and maybe spans, with the spans of these templates added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(*templates_side)
+        for batch in batches:
+            before = batch.column(2).to_pylist() if batch.num_columns > 2 else [[]] * batch.num_rows
+            out = []
+            for t, known in zip(as_bytes(batch.column(1)), before, strict=True):
+                spans = list(known)
+                if not matcher.keys.isdisjoint(words_of(t)):
+                    for number, block in enumerate(BLOCK_END.split(t)):
+                        spans += [{"label": f.label, "block": number, "share": share} for f, share in matcher.block(set(words_of(block)))]
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(SPAN))], names=[batch.schema.names[0], "_text", "spans"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return run

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,43 +73,61 @@ class Codec:
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
 
-    def survivor(self, window: str, i: int, last: list[int], best: list[float]) -> tuple[int, float]:
-        """Start of the piece that ends at `i` in the window, and the summed score there."""
-        if self.kind == "bpe":
-            for j in range(max(0, i - self.longest), i - 1):
-                piece = window[j:i]
-                if piece in self.reachable and (j == 0 or self.apart(window[last[j] : j], piece)):
-                    return j, 0.0
-            return i - 1, 0.0  # a single character, known or not
-        start, top = i - 1, best[i - 1] + self.scores.get(window[i - 1 : i], self.unknown)
-        for j in range(max(0, i - self.longest), i - 1):
-            s = self.scores.get(window[j:i])
-            if s is not None and best[j] + s > top:
-                start, top = j, best[j] + s
-        return start, top
-
     def emit(self, piece: str) -> list[int]:
         """The piece's id; the ids of its bytes if it is no piece."""
         found = self.pieces.get(piece)
         return [found] if found is not None else [self.byte_ids[b] for b in piece.encode()]
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Commit ids as soon as every path that can still be extended goes through one boundary."""
-        window, done, last, best = "", 0, [0], [0.0]
+        """Commit ids as soon as every path that can still be extended goes through one boundary.
+
+        `window` is what was read behind the last boundary but one; `last` has for each position in it the start of the piece
+        that survives there, `ends` that piece, `best` its summed score. It holds at most `bound` characters.
+        """
+        bpe, longest, reachable, pairs, scores = self.kind == "bpe", self.longest, self.reachable, self.pairs, self.scores
+        window, size, done, due, last, ends, best = "", 0, 0, 2 * self.longest, [0], [""], [0.0]
         for c in chars:
             window += c
-            j, score = self.survivor(window, len(window), last, best)
-            last.append(j)
-            best.append(score)
-            if len(window) - done >= 2 * self.longest and len(window) % self.longest == 0:
-                cut = self.meeting(last, len(window) - self.longest + 1)
+            size += 1
+            start, piece = size - 1, c  # a single character, known or not
+            if bpe:
+                for j in range(size - longest if size > longest else 0, size - 1):
+                    longer = window[j:size]
+                    if longer in reachable:
+                        if not j:
+                            start, piece = j, longer
+                            break
+                        found = pairs.get((ends[j], longer))
+                        if found or found is None and self.apart(ends[j], longer):
+                            start, piece = j, longer
+                            break
+            else:
+                top = best[start] + scores.get(c, self.unknown)
+                for j in range(size - longest if size > longest else 0, size - 1):
+                    longer = window[j:size]
+                    s = scores.get(longer)
+                    if s is not None and best[j] + s > top:
+                        start, piece, top = j, longer, best[j] + s
+                best.append(top)
+            last.append(start)
+            ends.append(piece)
+            if size == due:
+                cut = self.meeting(last, size - longest + 1)
                 if cut > done:
-                    yield from self.path(window, last, done, cut)
+                    yield from self.path(last, ends, done, cut)
                     # pieces to come start at the cut or later; the piece before it still bears on which of them survive
-                    gone = last[cut]
-                    window, done = window[gone:], cut - gone
-                    last, best = [max(0, x - gone) for x in last[gone:]], [b - best[cut] for b in best[gone:]]
-        yield from self.path(window, last, done, len(window))
+                    gone, base = last[cut], 0.0 if bpe else best[cut]
+                    window, size, done = window[gone:], size - gone, cut - gone
+                    last, ends, best = [max(0, x - gone) for x in last[gone:]], ends[gone:], [x - base for x in best[gone:]]
+                if size > self.bound:
+                    raise RuntimeError("the paths of this vocabulary do not meet within the window")
+                due = size + longest
+        yield from self.path(last, ends, done, size)
+
+    @property
+    def bound(self) -> int:
+        """Characters that the window may hold. In a model of the BPE kind paths need not meet soon in theory; they do."""
+        return 64 * self.longest
 
     @staticmethod
     def meeting(last: list[int], first: int) -> int:
@@ -120,51 +138,31 @@ class Codec:
             alive.add(last[top])
         return alive.pop()
 
-    def path(self, window: str, last: list[int], done: int, end: int) -> list[int]:
-        cuts = []
+    def path(self, last: list[int], ends: list[str], done: int, end: int) -> list[int]:
+        """Ids of the pieces on the path from `done` to `end`."""
+        found = []
         while end > done:
-            cuts.append((last[end], end))
+            found.append(ends[end])
             end = last[end]
-        return [t for a, b in reversed(cuts) for t in self.emit(window[a:b])]
-
-    def within(self, text: str) -> list[int]:
-        """As `stream`, for a text within one window: all paths meet at its end and nothing is committed before."""
-        last, pieces, reachable, pairs, longest = [0], [""], self.reachable, self.pairs, self.longest
-        for i in range(1, len(text) + 1):
-            for j in range(i - longest if i > longest else 0, i - 1):
-                piece = text[j:i]
-                if piece in reachable:
-                    if not j:
-                        break
-                    found = pairs.get((pieces[j], piece))
-                    if found or found is None and self.apart(pieces[j], piece):
-                        break
-            else:
-                j, piece = i - 1, text[i - 1 : i]
-            last.append(j)
-            pieces.append(piece)
-        out, i = [], len(text)
-        while i:
-            out.append(pieces[i])
-            i = last[i]
         ids = self.pieces
-        return [t for p in reversed(out) for t in ((ids[p],) if p in ids else self.emit(p))]
+        return [t for p in reversed(found) for t in ((ids[p],) if p in ids else self.emit(p))]
 
     def encode_unit(self, unit: bytes) -> bytes:
-        """Ids of a pre-token as 32-bit numbers. Where no piece has two neighbouring characters in a row, all paths meet."""
+        """Ids of a pre-token as 32-bit numbers: its parts are streamed. Where no piece has two neighbouring characters in a
+        row, all paths meet, and a part ends."""
         text = SPACE + unit.decode().replace(" ", SPACE)
         cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined), len(text)]
         out = []
         for a, b in zip(cuts, cuts[1:]):
+            if b - a > 24:
+                out.append(array("I", self.stream(islice(text, a, b))).tobytes())
+                continue
             part = text[a:b]
             ids = self.parts.get(part)
             if ids is None:
-                short = self.kind == "bpe" and len(part) <= 2 * self.longest
-                ids = array("I", self.within(part) if short else self.stream(part)).tobytes()
-                if len(part) <= 24:
-                    if len(self.parts) >= self.most_pairs:
-                        self.parts.clear()
-                    self.parts[part] = ids
+                if len(self.parts) >= self.most_pairs:
+                    self.parts.clear()
+                ids = self.parts[part] = array("I", self.stream(part)).tobytes()
             out.append(ids)
         return b"".join(out)
 
@@ -182,8 +180,9 @@ def cached(model_path: str, kind: str, cache_size: int) -> Cache:
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", cache_size: int = 800_000, kind: str = "bpe") -> DataFrame:
     """Add `ids`, the token ids of each whole text, without begin or end ids.
 
-    Null gives null, an empty text no ids. A text of any length is streamed in bounded memory besides its ids. All other
-    columns pass through; `ids` replaces a column of that name. An empty table gives an empty table.
+    Null gives null, an empty text no ids. Besides the text and its ids a search holds one window, whose length is bounded.
+    Repeated rows are encoded each, null keys like others. All other columns pass through, whatever their names; `ids`
+    replaces a column of that name. An empty table gives an empty table.
     """
     rest = [c for c in docs.columns if c != ids]
     plain = docs.select(*(F.col(f"`{c}`") for c in rest))
@@ -202,7 +201,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
 def digest(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", cache_size: int = 800_000, kind: str = "bpe") -> DataFrame:
     """Per document: key, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), and whether decoding the ids
-    gives the text again, in which a space mark reads as a space. A null text counts as empty."""
+    gives the text again, in which a space mark reads as a space. A null text counts as empty; null keys and repeated rows
+    each give their row, other columns are left out, and an empty table gives no rows."""
     from zlib import crc32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, pieces, widened
+from .common import Cache, as_bytes, kept, pieces, widened
 
 UNIT = re.compile(rb" *[^ ]+| +$")
 SPECIAL = b"\xe2\x96\x81"  # the mark that stands for a space inside pieces
@@ -102,14 +103,18 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", count: st
     rest = [c for c in docs.columns if c != count]
     plain = docs.select(*(F.col(f"`{c}`") for c in rest))
     schema = widened(plain).add(count, "long")
-    at = rest.index(text)
+    at, name = rest.index(text), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Cache:
         names, known = shared.value
         frequent = dict(zip(names.split(b"\n"), array("H", known), strict=False))
         cache = Cache(counter(load_model(model_path)), cache_size + len(frequent))
         cache.young.update(frequent)
         cache.fixed = frequent
+        return cache
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = kept(("tokens", name), made)
         for batch in (part for whole in batches for part in pieces(whole, at, 2 << 20)):
             lists = [units(t) for t in as_bytes(batch.column(at))]
             table = cache.lookup(set(chain.from_iterable(lists)))
