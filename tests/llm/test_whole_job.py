@@ -226,7 +226,7 @@ def test_counts_beyond_32_bits():
 def test_further_orders_remove_candidates(spark):
     """Texts that share one rare passage and little else are candidates of the first order, and few are after the others."""
     rng = random.Random(8)
-    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    words = lambda n: [f"w{rng.randrange(1000)}" for _ in range(n)]
     texts = [" ".join([*words(90), *[f"rare{i}x{j}" for j in range(6)], *words(90)]) for i in range(20) for _ in range(2)]
     sets, cuts = ngram_join.shingle_sets([t.encode() for t in texts], 1)
     each = [sets[a:b] for a, b in zip(cuts, cuts[1:])]
