@@ -72,14 +72,19 @@ def validate(spark: SparkSession, a) -> None:
     graph_json.unreadable(docs).show(truncate=120)
 
 
-def loaded(spark: SparkSession, path: str) -> tuple[graph.Views, DataFrame, DataFrame]:
-    """The control graph with the documents under `path` merged in; any violation or failed reference raises."""
+def loaded(spark: SparkSession, path: str, standing: str | None = None, clear: bool = False) -> tuple[graph.Views, DataFrame, DataFrame]:
+    """The graph under `standing`, or the control graph, with the documents under `path` merged in; with `clear`, extracted
+    nodes and their edges go first. Any violation, unsafe name, failed reference or broken constraint raises."""
     _, *parts = documents(spark, path)
     if bad := violations.violations(*parts).first():
         raise ValueError(f"{bad.document_id}: {bad.rule_id} {bad.message}")
+    graph.checked_identifiers(parts[2], parts[1])
     nodes, rels = parts[1].withColumn("turn", F.col("node_ord").cast("long")), parts[2].withColumn("turn", F.col("rel_ord").cast("long"))
-    start, links = graph.control(spark)
+    start, links = (spark.read.parquet(f"{standing}/nodes"), spark.read.parquet(f"{standing}/edges")) if standing else graph.control(spark)
+    if clear:
+        start, links = graph.clear_instances(start, links)
     all_nodes = graph.upsert_nodes(start, nodes.select("labels", "id", "properties", "turn"))
+    graph.checked_constraints(all_nodes)
     edges, errors = graph.upsert_edges(all_nodes, links, rels.select("source", "type", "target", "target_ref", "properties", "turn"))
     if lost := errors.first():
         raise ValueError(lost.message)
@@ -87,13 +92,15 @@ def loaded(spark: SparkSession, path: str) -> tuple[graph.Views, DataFrame, Data
 
 
 def load(spark: SparkSession, a) -> None:
-    _, nodes, edges = loaded(spark, a.input)
+    """Merge documents into a graph; the result is written to a folder of its own, the standing graph stays as it is."""
+    if a.standing and a.output and a.standing.rstrip("/") == a.output.rstrip("/"):
+        raise ValueError("the output folder must not be the standing graph's")
+    _, nodes, edges = loaded(spark, a.input, a.standing, a.clear)
     if a.output:
         sinks.write_parquet(nodes, f"{a.output}/nodes", "overwrite")
         sinks.write_parquet(edges, f"{a.output}/edges", "overwrite")
     graph.label_counts(nodes).show()
     graph.edge_counts(edges).show()
-    graph.broken_constraints(nodes).show()
 
 
 def check(spark: SparkSession, a) -> None:
@@ -141,7 +148,7 @@ def main(arguments: list[str]) -> None:
     command("select", select, "input").add_argument("--strategy", default="hybrid")
     command("layout", lay_out, "input").add_argument("--backend", choices=list(layout.BACKENDS), default="pypdf")
     command("validate", validate, "input")
-    command("load", load, "input")
+    command("load", load, "input", "standing").add_argument("--clear", action="store_true", help="extracted nodes and edges of the standing graph go first")
     one = command("check", check, "input", "targets", "expected")
     one.add_argument("--kind", choices=["schema", "cq"], default="cq")
     one.add_argument("--first", action="store_true", help="only the first target")

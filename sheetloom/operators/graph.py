@@ -67,7 +67,8 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Merge `new` (labels, id, properties, turn) into the nodes. A node is the same if all labels and the id agree."""
     own_id = F.create_map(F.lit("id"), F.to_json(F.array("id")))
     own_id = F.transform_values(own_id, lambda _, v: F.substring(v, 2, F.length(v) - 2))  # the array's one element
-    given = F.map_filter("properties", lambda k, _: k != "id")
+    given = F.coalesce("properties", F.create_map().cast("map<string,string>"))  # a given id property wins over the node's id
+    own_id = F.when(F.array_contains(F.map_keys(given), "id"), F.create_map().cast("map<string,string>")).otherwise(own_id)
     fresh = new.select(node_key(F.col("labels"), F.col("id")).alias("key"), F.array_sort("labels").alias("labels"), "id", F.map_concat(given, own_id).alias("properties"), "turn")
     return merged(nodes.withColumn("turn", F.lit(-1).cast("long")).unionByName(fresh), ["key"], ["labels", "id"]).select("key", "labels", "id", "properties")
 
@@ -79,11 +80,17 @@ def resolved(nodes: DataFrame, new: DataFrame) -> DataFrame:
     found stays null; an edge whose end is found twice is given twice.
     """
     by_id = nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    named = nodes.select(F.col("key").alias("_key"), "properties", F.explode("labels").alias("_label")).select("_key", "_label", F.explode("properties").alias("_name", "_value"))
     with_src = new.join(by_id, F.col("source") == F.col("_id"), "left").withColumnRenamed("_key", "src").drop("_id")
     local = with_src.where("target_ref is null").join(by_id, F.col("target") == F.col("_id"), "left").withColumnRenamed("_key", "dst").drop("_id")
+    # distinct references are few beside the edges that make them: they are matched first, each against the one property it
+    # names, and what they lead to is then joined, by broadcast if the planner finds it small
+    parts = [F.col(f"target_ref.{x}").alias(f"_{x}") for x in ("label", "key", "value")]
+    refs = new.where("target_ref is not null").select(*parts).distinct()
+    named = nodes.select(F.col("key").alias("_node"), "properties", F.explode("labels").alias("_label")).join(refs.select("_label", F.col("_key").alias("_name")).distinct(), "_label")
+    named = named.select("_node", "_label", "_name", F.col("properties")[F.col("_name")].alias("_value")).where("_value is not null").distinct()
+    led = refs.withColumnRenamed("_key", "_name").join(named, ["_label", "_name", "_value"])
     ref = (F.col("target_ref.label") == F.col("_label")) & (F.col("target_ref.key") == F.col("_name")) & (F.col("target_ref.value") == F.col("_value"))
-    vocab = with_src.where("target_ref is not null").join(named, ref, "left").withColumnRenamed("_key", "dst").drop("_label", "_name", "_value")
+    vocab = with_src.where("target_ref is not null").join(led, ref, "left").withColumnRenamed("_node", "dst").drop("_label", "_name", "_value")
     return local.unionByName(vocab)
 
 
@@ -134,6 +141,18 @@ def bad_identifiers(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     return label.unionByName(key).where(~F.col("name").rlike(word)).unionByName(kind.where(~F.col("name").rlike(upper))).distinct()
 
 
+def checked_identifiers(rels: DataFrame, nodes: DataFrame) -> None:
+    """Raise on the first label, property name or relationship type that is no plain identifier."""
+    if bad := bad_identifiers(rels, nodes).first():
+        raise ValueError(f"unsafe {bad.kind} name: {bad.name!r}")
+
+
+def checked_constraints(nodes: DataFrame) -> None:
+    """Raise on the first identity value that several nodes of a label have."""
+    if twice := broken_constraints(nodes).first():
+        raise ValueError(f"{twice.n} nodes of label {twice.label} share the value {twice.value}")
+
+
 class Views:
     """Typed views of a graph, by label, and its edges by type. The competency questions are asked of them."""
 

@@ -75,6 +75,8 @@ def vocabulary_grounding(g: Views) -> DataFrame:
     ).orderBy(*last("equipment_id", "parameter_type_grounding_status", "unit_grounding_status", "raw_label"))
 
 
+#: Up to this many required types are broadcast.
+MOST_REQUIRED = 100_000
 UNSUPPORTED = "The extracted unit is not listed as an allowed unit for this ParameterType."
 MISSING_UNIT = "This ParameterType expects a unit, but the extracted parameter has no HAS_UNIT relationship."
 
@@ -84,10 +86,10 @@ def required_parameter_status(g: Views) -> DataFrame:
     kinds = g.edges("HAS_PARAMETER_TYPE").select(F.col("src").alias("p"), F.col("dst").alias("t"))
     typed = kinds.join(g["parameter_type"].select(F.col("key").alias("t"), F.col("name").alias("parameter_type"), "expects_unit"), "t")
     has = parameters(g, "product_model").join(typed, "p")
-    # the required types are a vocabulary of a fixed, small size: every piece of equipment is held against each of them
+    # every piece of equipment is held against each required type: the vocabulary is broadcast if its count allows that
     needed = g["required_parameter"].select(F.col("key").alias("src"), "reason").join(g.edges("REQUIRES_PARAMETER_TYPE"), "src")
     needed = needed.join(g["parameter_type"].select(F.col("key").alias("dst"), F.col("name").alias("parameter_type")), "dst").select(F.col("dst").alias("t"), "parameter_type", "reason")
-    lone = g["equipment"].select(F.col("key").alias("e"), F.col("id").alias("equipment_id"), "product_model").crossJoin(F.broadcast(needed))
+    lone = g["equipment"].select(F.col("key").alias("e"), F.col("id").alias("equipment_id"), "product_model").crossJoin(F.broadcast(needed) if needed.count() <= MOST_REQUIRED else needed)
     lone = lone.join(has.select("e", "t").distinct(), ["e", "t"], "left_anti")
     row = lambda df, kind, unit, detail, label, value: df.select("equipment_id", "product_model", F.lit(kind).alias("issue_type"), "parameter_type", label.alias("raw_label"), value.alias("value"), unit.alias("unit"), detail.alias("detail"))
     missing = row(lone, "MISSING_REQUIRED_PARAMETER", none, F.col("reason"), none, none)

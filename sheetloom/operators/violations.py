@@ -1,17 +1,18 @@
 """Validation of graph-shaped documents as sets of violations.
 
 nodes: document_id, node_ord, id, labels, properties (name -> JSON text). rels: document_id, rel_ord, source, type, target,
-target_ref, properties. documents: document_id, schema_version, extraction_scope. Every rule gives rows of document_id,
-rule_id, subject_id and message; all rules are joined or grouped by document, none collects.
+target_ref, properties. documents: document_id, schema_version, extraction_scope. Rules that one row tells are arrays of that
+row; the others are told by one aggregate by document and id, one by relationship and one by document. None collects.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .graph import plain
 
 # Scopes, statuses, required labels, edges and properties, and the form of vocabulary references.
@@ -23,77 +24,136 @@ NEEDED_PROPERTIES = [("V16", "Evidence", ["source_document_id", "page_number", "
 REFERENCES = [("HAS_PARAMETER_TYPE", "ParameterType", "name"), ("HAS_UNIT", "Unit", "symbol"), ("HAS_EQUIPMENT_TYPE", "EquipmentType", "name")]
 
 
-def rule(rows: DataFrame, rule_id: str, subject: Column, message: Column) -> DataFrame:
-    return rows.select("document_id", F.lit(rule_id).alias("rule_id"), subject.cast("string").alias("subject_id"), message.alias("message"))
-
-
-def say(pattern: str, *parts: str | Column) -> Column:
-    return F.format_string(pattern, *parts) if parts else F.lit(pattern)
-
-
-def structural(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> list[DataFrame]:
-    ids = nodes.select("document_id", "id").distinct()
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    bad_node = blank(F.col("id")) | (F.size("labels") < 1) | F.exists("labels", blank)
-    both = F.col("target").isNotNull() == F.col("target_ref").isNotNull()
-    twice = nodes.groupBy("document_id", "id").agg(F.count("*").alias("n")).where("n > 1")
-    lone = lambda end: rels.where(F.col(end).isNotNull()).join(ids.select("document_id", F.col("id").alias(end)), ["document_id", end], "left_anti")
-    sheet = nodes.where((F.col("id") == F.col("document_id")) & F.array_contains("labels", "Datasheet")).select("document_id").distinct()
-    return [
-        rule(nodes.where(bad_node), "V1", F.col("id"), say("Node ids and labels must not be empty.")),
-        rule(documents.where(blank(F.col("document_id")) | blank(F.col("schema_version"))), "V1", F.col("document_id"), say("document_id and schema_version must not be empty.")),
-        rule(rels.where(both), "V2", F.col("source"), say("Each relationship must define exactly one of 'target' or 'target_ref'.")),
-        rule(twice, "V3", F.col("id"), say("Duplicate node IDs found: %s", "id")),
-        rule(lone("source"), "V4", F.col("source"), say("Relationship source '%s' does not exist in nodes.", "source")),
-        rule(lone("target"), "V4", F.col("target"), say("Relationship target '%s' does not exist in nodes.", "target")),
-        rule(documents.join(sheet, "document_id", "left_anti"), "V5", F.col("document_id"), say("document_id must match the id of a node with label 'Datasheet'.")),
-        rule(documents.where(~F.coalesce(F.col("extraction_scope").isin(SCOPES), F.lit(False))), "V6", F.col("extraction_scope"), say("Unknown extraction_scope.")),
-        rule(documents.join(nodes.select("document_id").distinct(), "document_id", "left_anti"), "V7", F.col("document_id"), say("At least one node is required.")),
-    ]
+VIOLATION = "array<struct<rule_id:string,subject_id:string,message:string>>"
 
 
-def semantic(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> list[DataFrame]:
-    own = lambda label: nodes.where(F.array_contains("labels", label))
-    ref = F.col("target_ref")
-    target = F.when(F.col("target").isNotNull(), F.concat(F.lit("target:"), "target")).when(ref.isNotNull(), F.concat(F.lit("target_ref:"), ref["label"], F.lit(":"), ref["key"], F.lit(":"), F.regexp_replace(ref["value"], r'^"|"$', ""))).otherwise("target:none")
-    keyed = rels.withColumn("to", target)
-    again = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("document_id", "source", "type", "to").orderBy("rel_ord"))).where("turn > 1")
-    out = [rule(again, "V8", F.col("source"), say("Duplicate relationship found: source=%s, type=%s, target=%s", "source", "type", "to"))]
+def found(rule_id: str, subject: Column | str, pattern: str, *parts: str | Column) -> Column:
+    message = F.format_string(pattern, *parts) if parts else F.lit(pattern)
+    return F.struct(F.lit(rule_id).alias("rule_id"), (F.col(subject) if isinstance(subject, str) else subject).cast("string").alias("subject_id"), message.alias("message"))
 
-    has = nodes.groupBy("document_id").agg(*(F.max(F.array_contains("labels", x).cast("int")).alias(x) for x in NEEDED_LABELS))
-    seen = documents.select("document_id").join(has, "document_id", "left").select("document_id", F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.coalesce(F.col(x), F.lit(0)).alias("there")) for x in NEEDED_LABELS))).alias("r"))
-    out.append(rule(seen.where("r.there = 0"), "V9", F.col("r.label"), say("At least one %s node is required.", F.col("r.label"))))
 
-    for rule_id, label, kind in NEEDED_EDGES:
-        have = rels.where(F.col("type") == kind).select("document_id", F.col("source").alias("id")).distinct()
-        prefix = f"{label} node '%s'" if label != "TechnicalParameter" else f"{label} '%s'"
-        out.append(rule(own(label).join(have, ["document_id", "id"], "left_anti"), rule_id, F.col("id"), say(f"{prefix} has no {kind} relationship.", "id")))
+def spread(rows: DataFrame, *lists: Column) -> DataFrame:
+    """One row for each violation in the lists of a row."""
+    each = F.explode(F.concat(F.array().cast(VIOLATION), *lists)).alias("v")
+    return rows.select("document_id", each).select("document_id", "v.*")
 
-    for kind, label, key in REFERENCES:
-        mine = rels.where(F.col("type") == kind)
-        out.append(rule(mine.where(ref.isNull()), "V15", F.col("source"), say("Relationship '%s' from '%s' should use target_ref instead of local target.", "type", "source")))
-        wrong = mine.where((ref["label"] != label) | (ref["key"] != key))
-        out.append(rule(wrong, "V15", F.col("source"), say(f"Relationship '%s' from '%s' has invalid target_ref. Expected label/key ({label}, {key}), got (%s, %s).", "type", "source", ref["label"], ref["key"])))
 
-    for rule_id, label, names in NEEDED_PROPERTIES:
-        lacking = own(label).select("document_id", "id", F.explode(F.array_except(F.array(*map(F.lit, names)), F.map_keys("properties"))).alias("name"))
-        words = "Evidence node '%s' is missing required property '%s'." if label == "Evidence" else "TechnicalParameter node '%s' is missing recommended MVP property '%s'."
-        out.append(rule(lacking, rule_id, F.col("id"), say(words, "id", "name")))
+def checked(*conditions: tuple[Column, Column]) -> Column:
+    """The violations whose conditions hold."""
+    return F.filter(F.array(*(F.when(c, v) for c, v in conditions)), lambda v: v.isNotNull())
 
-    evidence = own("Evidence").withColumn("status", plain("properties", "evidence_status")).withColumn("raw", F.col("properties")["confidence"])
-    allowed = ", ".join(f"'{s}'" for s in STATUSES)
-    out.append(rule(evidence.where(~F.col("status").isin(STATUSES)), "V17", F.col("id"), say(f"Evidence node '%s' has invalid evidence_status '%s'. Allowed values: [{allowed}].", "id", "status")))
-    given = evidence.where(F.col("raw") != "null")
+
+def times(n: Column, violation: Column) -> Column:
+    return F.when(n > 0, F.array_repeat(violation, n.cast("int"))).otherwise(F.array().cast(VIOLATION))
+
+
+def blank(c: Column | str) -> Column:
+    return F.coalesce(strip(F.col(c) if isinstance(c, str) else c) == "", F.lit(True))
+
+
+def saying(rule_id: str, pattern: str):
+    """The violation of a node that a property's name makes."""
+    return lambda name: found(rule_id, "id", pattern, "id", name)
+
+
+def of_nodes(nodes: DataFrame) -> DataFrame:
+    """Rules that one node tells: V1, V16 to V19."""
+    label = lambda name: F.coalesce(F.array_contains("labels", name), F.lit(False))
+    bad = blank("id") | (F.size("labels") < 1) | F.exists("labels", blank)
+    rows = nodes.withColumn("status", plain("properties", "evidence_status")).withColumn("raw", F.col("properties")["confidence"])
+    given = F.col("raw") != "null"
     number = F.when(F.col("raw") == "true", 1.0).when(F.col("raw") == "false", 0.0).otherwise(F.col("raw").try_cast("double"))  # booleans count as numbers
-    out.append(rule(given.where(number.isNull()), "V18", F.col("id"), say("Evidence node '%s' has non-numeric confidence.", "id")))
-    out.append(rule(given.where((number < 0) | (number > 1)), "V18", F.col("id"), say("Evidence node '%s' has confidence outside [0, 1].", "id")))
-    return out
+    allowed = ", ".join(f"'{s}'" for s in STATUSES)
+    lists = [
+        checked(
+            (F.coalesce(bad, F.lit(True)), found("V1", "id", "Node ids and labels must not be empty.")),
+            (label("Evidence") & ~F.col("status").isin(STATUSES), found("V17", "id", f"Evidence node '%s' has invalid evidence_status '%s'. Allowed values: [{allowed}].", "id", "status")),
+            (label("Evidence") & given & number.isNull(), found("V18", "id", "Evidence node '%s' has non-numeric confidence.", "id")),
+            (label("Evidence") & given & ((number < 0) | (number > 1)), found("V18", "id", "Evidence node '%s' has confidence outside [0, 1].", "id")),
+        )
+    ]
+    for rule_id, name, wanted in NEEDED_PROPERTIES:
+        words = "Evidence node '%s' is missing required property '%s'." if name == "Evidence" else "TechnicalParameter node '%s' is missing recommended MVP property '%s'."
+        lacking = F.array_except(F.array(*map(F.lit, wanted)), F.map_keys("properties"))
+        lists.append(F.when(label(name), F.transform(lacking, saying(rule_id, words))).otherwise(F.array().cast(VIOLATION)))
+    return spread(rows, *lists)
+
+
+def of_relationships(rels: DataFrame) -> DataFrame:
+    """Rules that one relationship tells: V2, V15."""
+    ref = F.col("target_ref")
+    conditions = [(F.col("target").isNotNull() == ref.isNotNull(), found("V2", "source", "Each relationship must define exactly one of 'target' or 'target_ref'."))]
+    for kind, label, key in REFERENCES:
+        mine = F.col("type") == kind
+        conditions.append((mine & ref.isNull(), found("V15", "source", "Relationship '%s' from '%s' should use target_ref instead of local target.", "type", "source")))
+        wrong = found("V15", "source", f"Relationship '%s' from '%s' has invalid target_ref. Expected label/key ({label}, {key}), got (%s, %s).", "type", "source", ref["label"], ref["key"])
+        conditions.append((mine & ((ref["label"] != label) | (ref["key"] != key)), wrong))
+    return spread(rels, checked(*conditions))
+
+
+def of_repeats(rels: DataFrame) -> DataFrame:
+    """V8: relationships that say what another one says."""
+    ref = F.col("target_ref")
+    to = F.when(F.col("target").isNotNull(), F.concat(F.lit("target:"), "target")).when(ref.isNotNull(), F.concat(F.lit("target_ref:"), ref["label"], F.lit(":"), ref["key"], F.lit(":"), F.regexp_replace(ref["value"], r'^"|"$', ""))).otherwise("target:none")
+    same = rels.groupBy("document_id", "source", "type", to.alias("to")).agg(F.count("*").alias("n")).where("n > 1")
+    return spread(same, times(F.col("n") - 1, found("V8", "source", "Duplicate relationship found: source=%s, type=%s, target=%s", "source", "type", "to")))
+
+
+def of_identities(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """Rules that all nodes and relationships of one id tell: V3, V4, V10 to V14. One aggregate by document and id."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    labels = sorted({label for _, label, _ in NEEDED_EDGES})
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    blanks = lambda names: [none.alias(n) for n in names]
+    kinds = [kind for _, _, kind in NEEDED_EDGES]
+    facts = nodes.select("document_id", "id", one.alias("nodes"), none.alias("sources"), none.alias("targets"), *(flag(F.array_contains("labels", x)).alias(x) for x in labels), *blanks(kinds))
+    starts = rels.select("document_id", F.col("source").alias("id"), none.alias("nodes"), one.alias("sources"), none.alias("targets"), *blanks(labels), *(flag(F.col("type") == k).alias(k) for k in kinds))
+    ends = rels.where("target is not null").select("document_id", F.col("target").alias("id"), none.alias("nodes"), none.alias("sources"), one.alias("targets"), *blanks(labels + kinds))
+    known = facts.unionByName(starts).unionByName(ends).groupBy("document_id", "id").agg(*(F.sum(x).alias(x) for x in ("nodes", "sources", "targets", *labels, *kinds)))
+    lost = F.col("nodes") == 0
+    lists = [
+        times((F.col("nodes") > 1).cast("int"), found("V3", "id", "Duplicate node IDs found: %s", "id")),
+        times(F.when(lost & F.col("id").isNotNull(), F.col("sources")).otherwise(none), found("V4", "id", "Relationship source '%s' does not exist in nodes.", "id")),
+        times(F.when(lost, F.col("targets")).otherwise(none), found("V4", "id", "Relationship target '%s' does not exist in nodes.", "id")),
+    ]
+    for rule_id, label, kind in NEEDED_EDGES:
+        prefix = f"{label} node '%s'" if label != "TechnicalParameter" else f"{label} '%s'"
+        lists.append(times(F.when(F.col(kind) == 0, F.col(label)).otherwise(none), found(rule_id, "id", f"{prefix} has no {kind} relationship.", "id")))
+    return spread(known, *lists)
+
+
+def totals(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """Each document with the numbers of its nodes, of those of each needed label and of its relationships, and `sheet`,
+    whether its id is that of a Datasheet node. One aggregate by document."""
+    none = F.lit(0).cast("long")
+    is_a = lambda name: F.coalesce(F.array_contains("labels", name), F.lit(False))
+    sheet = F.coalesce((F.col("id") == F.col("document_id")) & is_a("Datasheet"), F.lit(False)).cast("long").alias("sheet")
+    facts = nodes.select("document_id", F.lit(1).cast("long").alias("node_count"), none.alias("relationship_count"), sheet, *(is_a(x).cast("long").alias(x) for x in NEEDED_LABELS))
+    more = rels.select("document_id", none.alias("node_count"), F.lit(1).cast("long").alias("relationship_count"), none.alias("sheet"), *(none.alias(x) for x in NEEDED_LABELS))
+    names = ["node_count", "relationship_count", "sheet", *NEEDED_LABELS]
+    counted = facts.unionByName(more).groupBy("document_id").agg(*(F.sum(x).alias(x) for x in names))
+    return documents.join(counted, "document_id", "left").na.fill(0, names)
+
+
+def of_documents(counted: DataFrame) -> DataFrame:
+    """Rules that a document's totals tell: V1, V5 to V7, V9."""
+    return spread(
+        counted,
+        checked(
+            (blank("document_id") | blank("schema_version"), found("V1", "document_id", "document_id and schema_version must not be empty.")),
+            (F.col("sheet") == 0, found("V5", "document_id", "document_id must match the id of a node with label 'Datasheet'.")),
+            (~F.coalesce(F.col("extraction_scope").isin(SCOPES), F.lit(False)), found("V6", "extraction_scope", "Unknown extraction_scope.")),
+            (F.col("node_count") == 0, found("V7", "document_id", "At least one node is required.")),
+            *((F.col(x) == 0, found("V9", F.lit(x), f"At least one {x} node is required.")) for x in NEEDED_LABELS),
+        ),
+    )
 
 
 def violations(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:
-    """All violations. Semantic rules speak also about documents that break structural ones."""
-    found = structural(documents, nodes, rels) + semantic(documents, nodes, rels)
-    return reduce(DataFrame.unionByName, found)
+    """document_id, rule_id, subject_id, message of all violations. Semantic rules speak also about documents that break
+    structural ones. Every table is read three times at most, whatever the number of rules."""
+    parts = [of_nodes(nodes), of_relationships(rels), of_repeats(rels), of_identities(nodes, rels), of_documents(totals(documents, nodes, rels))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def domain_range(rels: DataFrame, nodes: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -101,15 +161,14 @@ def domain_range(rels: DataFrame, nodes: DataFrame, definitions: DataFrame) -> D
     ends = nodes.select("document_id", "id", "labels")
     known = rels.join(definitions.select(F.col("name").alias("type"), "from_concept", "to_concept"), "type")
     src = known.join(ends.select("document_id", F.col("id").alias("source"), F.col("labels").alias("src_labels")), ["document_id", "source"], "left")
-    return rule(src.where(~F.expr("array_contains(src_labels, from_concept)")), "X1", F.col("source"), say("Relationship '%s' must start at %s.", "type", "from_concept"))
+    wrong = ~F.expr("array_contains(src_labels, from_concept)")
+    return spread(src, checked((wrong, found("X1", "source", "Relationship '%s' must start at %s.", "type", "from_concept"))))
 
 
 def report(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """One row per document: passed and the counts of errors, nodes, relationships, parameters and evidence."""
     errors = violations(documents, nodes, rels).groupBy("document_id").agg(F.count("*").alias("error_count"))
-    is_a = lambda label: F.count_if(F.array_contains("labels", label))
-    n = nodes.groupBy("document_id").agg(F.count("*").alias("node_count"), is_a("TechnicalParameter").alias("technical_parameter_count"), is_a("Evidence").alias("evidence_count"))
-    r = rels.groupBy("document_id").agg(F.count("*").alias("relationship_count"))
-    out = documents.select("document_id").join(errors, "document_id", "left").join(n, "document_id", "left").join(r, "document_id", "left")
+    named = {"TechnicalParameter": "technical_parameter_count", "Evidence": "evidence_count"}
+    out = totals(documents, nodes, rels).withColumnsRenamed(named).join(errors, "document_id", "left").na.fill(0, ["error_count"])
     counts = ["error_count", "node_count", "relationship_count", "technical_parameter_count", "evidence_count"]
-    return out.na.fill(0, counts).select("document_id", (F.col("error_count") == 0).alias("passed"), *counts)
+    return out.select("document_id", (F.col("error_count") == 0).alias("passed"), *counts)

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from ..operators.graph import Views, control
 from . import vocabulary
 
-PAGES = "SELECT source AS source_file, CAST(doc_id + 1 AS INT) AS page_number, text, CAST(n_chars AS INT) AS char_count FROM {documents}"
+# A source's documents are the pages of files of a thousand pages each, so that no file grows with the corpus.
+FILE = "concat(source, '_', CAST(floor(doc_id / 1000) AS INT))"
+PAGES = f"SELECT {FILE} AS source_file, CAST(doc_id + 1 AS INT) AS page_number, text, CAST(n_chars AS INT) AS char_count FROM {{documents}}"
 CHATS = "SELECT concat('conv_', conv_id) AS source_file, CAST(turn + 1 AS INT) AS page_number, text FROM {conversations}"
 # Documents in which frequent words became headings, captions, table rows and list items, to exercise the layout rules.
-DATASHEETS = "SELECT source AS source_file, CAST(doc_id + 1 AS INT) AS page_number, replace(replace(replace(replace(replace(text, ' of ', concat(chr(10), 'Figure 3 of it', chr(10))), ' is ', concat(chr(10), 'Features', chr(10))), ' and ', ' PRODUCT SUMMARY '), ' de ', concat(chr(10), 'PACKAGE DIMENSIONS', chr(10), 'Fig. 2', chr(10))), ' und ', concat(chr(10), 'SYMBOL VALUE UNIT ', chr(10))) AS text FROM {documents}"
+DATASHEETS = f"SELECT {FILE} AS source_file, CAST(doc_id + 1 AS INT) AS page_number, replace(replace(replace(replace(replace(text, ' of ', concat(chr(10), 'Figure 3 of it', chr(10))), ' is ', concat(chr(10), 'Features', chr(10))), ' and ', ' PRODUCT SUMMARY '), ' de ', concat(chr(10), 'PACKAGE DIMENSIONS', chr(10), 'Fig. 2', chr(10))), ' und ', concat(chr(10), 'SYMBOL VALUE UNIT ', chr(10))) AS text FROM {{documents}}"
 MARKDOWN = "SELECT concat('doc_', doc_id) AS source_file, replace(replace(replace(replace(replace(replace(text, ' of ', concat(chr(10), '# Features', chr(10))), ' is ', concat(chr(10), '- item', chr(10))), ' and ', concat(chr(10), '| a | --- |', chr(10))), ' to ', concat(chr(10), 'Rev. 1.2, 05-Jan-11 3 Document Number: 7', chr(10))), ' de ', concat(chr(10), chr(10), '## Reel dimensions', chr(10), chr(10))), ' und ', concat(' ', chr(10), chr(10))) AS markdown FROM {documents}"
-RECORDED = """SELECT d.source AS source_file, CAST(d.doc_id + 1 AS INT) AS page_number, CAST(60 * l.quality + 30 * (1 - l.toxic) AS DOUBLE) AS score,
+RECORDED = f"""SELECT {FILE} AS source_file, CAST(d.doc_id + 1 AS INT) AS page_number, CAST(60 * l.quality + 30 * (1 - l.toxic) AS DOUBLE) AS score,
     CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'high' WHEN l.quality = 1 THEN 'medium' WHEN l.toxic = 0 THEN 'low' ELSE 'irrelevant' END AS relevance_level,
-    l.quality = 1 AS useful_for_extraction, d.lang AS likely_content_type FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
+    l.quality = 1 AS useful_for_extraction, d.lang AS likely_content_type FROM {{documents}} d JOIN (SELECT doc_id AS label_id, quality, toxic FROM {{labels}}) l ON d.doc_id = l.label_id"""
 
 # Every line item is a parameter. Some references to types and evidence are changed, so that they lead nowhere.
 LINES = "SELECT concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber) AS id, concat('equipment_', l_partkey) AS e, concat(l_returnflag, l_linestatus, l_linenumber, CASE WHEN l_orderkey % 11 = 3 THEN '?' ELSE '' END) AS raw_label, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS value, CASE WHEN l_tax < 0.02 THEN NULL WHEN l_tax < 0.05 THEN 'mm' ELSE 'nm' END AS unit, CASE WHEN l_orderkey % 10 = 0 THEN -1 - l_orderkey ELSE l_orderkey END AS l_orderkey FROM {lineitem}"
@@ -35,18 +37,24 @@ ALLOWED = f"SELECT * FROM (VALUES {', '.join(f"('{x}', '{unit}')" for unit in ('
 
 # One extraction document per supplier, over all its line items, each a parameter with evidence of its own, with faults planted by remainders.
 DOC_LINES = "SELECT DISTINCT concat('datasheet_', l_suppkey) AS document_id, l_suppkey, l_partkey, l_orderkey, l_linenumber, l_returnflag FROM {lineitem}"
-DOC_DOCUMENTS = "SELECT concat('datasheet_', s_suppkey) AS document_id, '0.1.0' AS schema_version, CASE WHEN s_suppkey % 11 = 5 THEN 'guessed' ELSE 'llm_generated' END AS extraction_scope, s_suppkey FROM {supplier}"
-DOC_NODES = f"""SELECT document_id, document_id AS id, CASE WHEN s_suppkey % 7 = 3 THEN 'Manual' ELSE 'Datasheet' END AS label, NULL AS status, NULL AS confidence, false AS bare FROM ({DOC_DOCUMENTS}) a
+# The last one has no nodes and a blank version.
+DOC_DOCUMENTS = """SELECT concat('datasheet_', s_suppkey) AS document_id, '0.1.0' AS schema_version, CASE WHEN s_suppkey % 11 = 5 THEN 'guessed' ELSE 'llm_generated' END AS extraction_scope, s_suppkey FROM {supplier}
+    UNION ALL SELECT 'datasheet_none', chr(9), 'llm_generated', -1"""
+DOC_NODES = f"""SELECT document_id, document_id AS id, CASE WHEN s_suppkey % 7 = 3 THEN 'Manual' ELSE 'Datasheet' END AS label, NULL AS status, NULL AS confidence, false AS bare FROM ({DOC_DOCUMENTS}) a WHERE s_suppkey >= 0
+    UNION ALL SELECT document_id, chr(9), 'Note', NULL, NULL, false FROM ({DOC_DOCUMENTS}) n WHERE s_suppkey % 17 = 2
     UNION ALL SELECT DISTINCT document_id, concat('equipment_', l_partkey), 'Equipment', NULL, NULL, false FROM ({DOC_LINES}) b
     UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'TechnicalParameter', NULL, NULL, l_orderkey % 17 = 4 FROM ({DOC_LINES}) c
     UNION ALL SELECT document_id, concat('evidence_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'Evidence', CASE WHEN l_orderkey % 19 = 2 THEN 'guessed' WHEN l_orderkey % 19 = 3 THEN NULL ELSE 'explicit' END, CASE WHEN l_orderkey % 23 = 1 THEN '1.5' WHEN l_orderkey % 23 = 2 THEN '"sure"' WHEN l_orderkey % 23 = 3 THEN 'true' ELSE '0.5' END, l_orderkey % 29 = 7 FROM ({DOC_LINES}) d
     UNION ALL SELECT document_id, concat('run_', l_suppkey), 'ExtractionRun', NULL, NULL, false FROM (SELECT DISTINCT document_id, l_suppkey FROM ({DOC_LINES}) e WHERE l_suppkey % 13 <> 6) f
     UNION ALL SELECT document_id, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'TechnicalParameter', NULL, NULL, false FROM ({DOC_LINES}) g WHERE l_orderkey % 101 = 9"""
+# Two of the three flags stand for types of the control graph, the third is none.
+KNOWN_TYPES = f"WHEN 'A' THEN '{vocabulary.PARAMETER_TYPES[0][0]}' WHEN 'R' THEN '{vocabulary.PARAMETER_TYPES[1][0]}'"
 DOC_RELS = f"""SELECT document_id, 1 AS part, l_orderkey AS k, document_id AS source, 'DESCRIBES' AS type, concat('equipment_', l_partkey) AS target, NULL AS label, NULL AS refkey, NULL AS value FROM ({DOC_LINES}) a WHERE l_suppkey % 10 <> 4
     UNION ALL SELECT document_id, 2, l_orderkey, concat('equipment_', l_partkey), 'HAS_PARAMETER', concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), NULL, NULL, NULL FROM ({DOC_LINES}) b WHERE l_partkey % 9 <> 1
-    UNION ALL SELECT document_id, 3, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'HAS_PARAMETER_TYPE', CASE WHEN l_orderkey % 31 = 5 THEN 'evidence_lost' END, CASE WHEN l_orderkey % 31 <> 5 THEN CASE WHEN l_orderkey % 37 = 6 THEN 'Unit' ELSE 'ParameterType' END END, CASE WHEN l_orderkey % 31 <> 5 THEN 'name' END, CASE WHEN l_orderkey % 31 <> 5 THEN l_returnflag END FROM ({DOC_LINES}) c WHERE l_orderkey % 41 <> 8
+    UNION ALL SELECT document_id, 3, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'HAS_PARAMETER_TYPE', CASE WHEN l_orderkey % 31 = 5 THEN 'evidence_lost' END, CASE WHEN l_orderkey % 31 <> 5 THEN CASE WHEN l_orderkey % 37 = 6 THEN 'Unit' ELSE 'ParameterType' END END, CASE WHEN l_orderkey % 31 <> 5 THEN 'name' END, CASE WHEN l_orderkey % 31 <> 5 THEN CASE l_returnflag {KNOWN_TYPES} ELSE l_returnflag END END FROM ({DOC_LINES}) c WHERE l_orderkey % 41 <> 8
     UNION ALL SELECT document_id, 4, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'EVIDENCED_BY', concat('evidence_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), NULL, NULL, NULL FROM ({DOC_LINES}) d WHERE l_orderkey % 43 <> 8
-    UNION ALL SELECT document_id, 5, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'GENERATED_BY', concat('run_', l_suppkey), NULL, NULL, NULL FROM ({DOC_LINES}) e WHERE l_orderkey % 47 <> 8"""
+    UNION ALL SELECT document_id, 5, l_orderkey, concat('param_', l_orderkey, '_', l_partkey, '_', l_suppkey, '_', l_linenumber), 'GENERATED_BY', concat('run_', l_suppkey), NULL, NULL, NULL FROM ({DOC_LINES}) e WHERE l_orderkey % 47 <> 8
+    UNION ALL SELECT document_id, 6, s_suppkey, document_id, 'ABOUT', NULL, NULL, NULL, NULL FROM ({DOC_DOCUMENTS}) f WHERE s_suppkey % 19 = 3"""
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

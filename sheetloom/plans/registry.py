@@ -122,20 +122,73 @@ def constraint_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.broken_constraints(parts.select(F.array(F.lit("ParameterType")).alias("labels"), F.create_map(F.lit("name"), F.col("name")).alias("properties")))
 
 
+#: Statements around a name, and whether the guard lets them pass.
+FORMS = [
+    ("select", "SELECT '{}' AS a", True), ("with", "WITH t AS (SELECT '{}' AS a) SELECT * FROM t;", True), ("comment", "/* {} */ SELECT replace('{}', 'a', 'b') AS a", True),
+    ("write", "DELETE FROM t WHERE a = '{}'", False), ("two", "SELECT '{}'; SELECT 1", False), ("hidden", "SELECT 'drop {}' AS a", False),
+    ("java", "SELECT reflect('java.lang.System', 'getProperty', '{}')", False), ("file", "SELECT * FROM parquet.`/{}`", False), ("catalog", "SELECT * FROM other.t WHERE a = '{}'", False),
+]
+
+
 def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The guard over statements made of the parts' names, one of each kind."""
-    names = sorted(r.name for r in D.sql(spark, sf_dir, "SELECT DISTINCT p_type AS name FROM {part}").collect())  # a handful of types
-    forms = [("select", "SELECT '{}' AS a"), ("write", "DELETE FROM t WHERE a = '{}'"), ("two", "SELECT '{}'; SELECT 1"), ("hidden", "SELECT 'drop {}' AS a"), ("with", "WITH t AS (SELECT '{}' AS a) SELECT * FROM t;")]
-    rows = [(n, kind, checks.read_only_problem(form.format(n)) is None) for n in names for kind, form in forms]
-    return spark.createDataFrame(rows, "name string, kind string, allowed boolean")
+    """The guard over statements made of the parts' types, one of each form."""
+    names = D.sql(spark, sf_dir, "SELECT DISTINCT p_type AS name FROM {part}")
+    forms = spark.createDataFrame([(k, f) for k, f, _ in FORMS], "kind string, form string")
+    verdict = F.udf(lambda q: checks.read_only_problem(q) is None, "boolean", useArrow=True)
+    return names.join(F.broadcast(forms)).select("name", "kind", verdict(F.replace("form", F.lit("{}"), F.col("name"))).alias("allowed"))
+
+
+# What the schema checks must give.
+EXPECTED_STATE = {
+    "parameter_types": ["AngleOfHalfSensitivity", "DeviceType", "Dimensions", "Manufacturer", "PackageForm", "PackageType", "PeakSensitivityWavelength", "ProductModel"],
+    "units": ["V", "bit", "degree", "g", "mm", "nm", "µA", "°C"],
+    "equipment_types": ["AmbientLightSensor", "DigitalAccelerometer"],
+    "allowed_units": {"AngleOfHalfSensitivity": ["degree"], "Dimensions": ["mm"], "PeakSensitivityWavelength": ["nm"]},
+    "required_parameters": {"required_device_type": "DeviceType", "required_dimensions": "Dimensions", "required_package_form": "PackageForm", "required_peak_sensitivity_wavelength": "PeakSensitivityWavelength", "required_product_model": "ProductModel"},
+    "relationship_definitions": {
+        "ABOUT": {"from": "ValidationIssue", "to": "TechnicalParameter"}, "DESCRIBES": {"from": "Datasheet", "to": "Equipment"}, "EVIDENCED_BY": {"from": "TechnicalParameter", "to": "Evidence"},
+        "GENERATED_BY": {"from": "TechnicalParameter", "to": "ExtractionRun"}, "HAS_EQUIPMENT_TYPE": {"from": "Equipment", "to": "Equipment"}, "HAS_PARAMETER": {"from": "Equipment", "to": "TechnicalParameter"},
+        "HAS_PARAMETER_TYPE": {"from": "TechnicalParameter", "to": "ParameterType"}, "HAS_UNIT": {"from": "TechnicalParameter", "to": "Unit"},
+    },
+}
+TARGETS = [
+    {"check_id": check, "expected_result_key": key}
+    for check, key in zip(("parameter_type_vocabulary", "unit_vocabulary", "equipment_type_vocabulary", "allowed_units", "required_parameters", "relationship_definitions"), EXPECTED_STATE, strict=True)
+]
 
 
-def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six schema checks against their fixed expectations, rolled up."""
+def run_schema_checks(spark: SparkSession, expected_state: dict) -> DataFrame:
     g = D.control_views(spark)
-    expected = {k: checks.normalised(k, f(g)) for k, f in questions.SCHEMA_CHECKS.items()}
-    targets = [{"check_id": k, "expected_result_key": k} for k in expected]
-    return checks.rolled_up(checks.run_checks(spark, targets, expected, lambda t: checks.normalised(t["check_id"], questions.SCHEMA_CHECKS[t["check_id"]](g))))
+    expected = {t["expected_result_key"]: checks.expected_rows(spark, t["check_id"], expected_state[t["expected_result_key"]]) for t in TARGETS}
+    return checks.run_checks(spark, TARGETS, expected, lambda t: checks.normalised(t["check_id"], questions.SCHEMA_CHECKS[t["check_id"]](g)))
+
+
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six schema checks against expectations of which two are wrong: a unit and the end of a relationship."""
+    wrong = EXPECTED_STATE | {"units": [*EXPECTED_STATE["units"][:-1], "K"], "relationship_definitions": EXPECTED_STATE["relationship_definitions"] | {"HAS_UNIT": {"from": "Equipment", "to": "Unit"}}}
+    return run_schema_checks(spark, wrong)
+
+
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six schema checks against their fixed expectations, rolled up, beside the same with two wrong expectations."""
+    good, bad = checks.rolled_up(run_schema_checks(spark, EXPECTED_STATE)), checks.rolled_up(schema_checks(spark, sf_dir))
+    return good.withColumn("expectations", F.lit("right")).unionByName(bad.withColumn("expectations", F.lit("two wrong")))
+
+
+def scorer(text: str) -> dict:
+    """Stands for a model: a score from the length of what a model sees."""
+    n = len(text) % 101
+    return {"score": n, "relevance_level": "high" if n >= 75 else "medium" if n >= 50 else "low" if n >= 25 else "irrelevant", "useful_for_extraction": n >= 50, "likely_content_type": text[-11:], "reasoning": f"{len(text)} characters"}
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_with(pages(spark, sf_dir), scorer, "length").drop("extraction_targets_found")
+
+
+MODEL_SCORES = """WITH seen AS (SELECT *, CASE WHEN length(text) <= 3500 THEN text ELSE substr(text, 1, 3500) || chr(10) || chr(10) || '[TRUNCATED]' END AS shown FROM ({pages})),
+    n AS (SELECT *, length(shown) % 101 AS n FROM seen)
+    SELECT source_file, page_number, char_count, CAST(n AS DOUBLE) AS score, CASE WHEN n >= 75 THEN 'high' WHEN n >= 50 THEN 'medium' WHEN n >= 25 THEN 'low' ELSE 'irrelevant' END AS relevance_level,
+        n >= 50 AS useful_for_extraction, right(shown, 11) AS likely_content_type, length(shown) || ' characters' AS reasoning, 'length' AS llm_model FROM n"""
 
 
 def select_as(strategy: str) -> Query:
@@ -154,7 +207,7 @@ def queries() -> dict[str, Query]:
         "page_extraction_summary": lambda spark, sf_dir: extraction_summary(pages(spark, sf_dir)),
         "page_scores": own_scores,
         "page_scores_default_terms": page_scores_default,
-        "page_scores_recorded": lambda spark, sf_dir: recorded_scores(spark, sf_dir).drop("extraction_targets_found"),
+        "page_scores_model": model_scores,
         "page_comparison": compared,
         "page_comparison_summary": lambda spark, sf_dir: compare.comparison_summary(compared(spark, sf_dir)),
         "page_set_mismatches": mismatches,
@@ -171,6 +224,7 @@ def queries() -> dict[str, Query]:
         "graph_cleared": cleared_counts,
         "graph_constraint_breaches": constraint_breaches,
         "guard_verdicts": guard_verdicts,
+        "schema_checks": schema_checks,
         "check_report": check_report,
     }
     for strategy in compare.STRATEGIES:
@@ -184,14 +238,15 @@ def oracle_sql() -> dict[str, str]:
     both = S.compared(own)
     found = dict(S.CQS) | {f"check_{k}": v for k, v in S.SCHEMA_CHECKS.items()}
     labels = "SELECT label AS labels, count(DISTINCT id) AS n FROM nd WHERE label IN ('Datasheet', 'Equipment', 'TechnicalParameter', 'Evidence', 'ExtractionRun', 'ValidationIssue') GROUP BY label"
+    known = f"rl.label = 'ParameterType' AND refkey = 'name' AND value IN ({', '.join(S.q(p) for p in EXPECTED_STATE['parameter_types'])})"
     # a node is its label and id, whatever document names it; ends are found by id alone
-    ends = "keys AS (SELECT DISTINCT label, id FROM nd), local AS (SELECT DISTINCT type, s.label AS sl, rl.source, t.label AS tl, rl.target FROM rl JOIN keys s ON s.id = rl.source JOIN keys t ON t.id = rl.target)"
+    ends = "keys AS (SELECT DISTINCT label, id FROM nd), local AS (SELECT DISTINCT type, s.label AS sl, rl.source, t.label AS tl, rl.target FROM rl JOIN keys s ON s.id = rl.source JOIN keys t ON t.id = rl.target UNION SELECT DISTINCT type, s.label, rl.source, 'ParameterType', rl.value FROM rl JOIN keys s ON s.id = rl.source WHERE " + known + ")"
     found |= {
         "page_texts": chats_sql,
         "page_extraction_summary": f"SELECT source_file, count(*) AS page_count, CAST(sum(char_count) AS BIGINT) AS total_chars, {S.page_list('char_count = 0')} AS empty_pages FROM ({pages_sql}) GROUP BY 1",
         "page_scores": own,
         "page_scores_default_terms": S.scores(pages_sql, T.POSITIVE, T.NEGATIVE),
-        "page_scores_recorded": D.duck(D.RECORDED),
+        "page_scores_model": MODEL_SCORES.replace("{pages}", pages_sql),
         "page_comparison": f"{both} SELECT * FROM c",
         "page_comparison_summary": f"{both} {S.SUMMARY}",
         "page_set_mismatches": f"""WITH r AS (SELECT source_file, page_number FROM ({pages_sql})), l AS (SELECT source_file, page_number FROM ({D.duck(D.RECORDED)}))
@@ -210,11 +265,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT document_id, coalesce(c, 0) AS nodes_loaded, coalesce(l, 0) AS local_relationships_loaded, coalesce(v, 0) AS target_ref_relationships_loaded FROM n FULL JOIN r USING (document_id)""",
         "graph_label_counts": f"WITH {S.DOCS} {labels}",
         "graph_edge_counts": f"WITH {S.DOCS}, {ends} SELECT type, count(*) AS n FROM local GROUP BY type",
-        "graph_reference_errors": f"""WITH {S.DOCS} SELECT DISTINCT source, type, 'target_ref did not match an existing node: label=' || label || ', key=' || refkey || ', value="' || value || '"' AS message FROM rl WHERE label IS NOT NULL""",
-        "graph_cleared": f"WITH {S.DOCS} SELECT 'nodes' AS kind, 39 + count(DISTINCT id) AS n FROM nd WHERE label = 'Manual' UNION ALL SELECT 'edges', CAST(42 AS BIGINT)",
+        "graph_reference_errors": f"""WITH {S.DOCS} SELECT DISTINCT source, type, 'target_ref did not match an existing node: label=' || label || ', key=' || refkey || ', value="' || value || '"' AS message FROM rl WHERE label IS NOT NULL AND NOT ({known})""",
+        "graph_cleared": f"WITH {S.DOCS} SELECT 'nodes' AS kind, 39 + count(DISTINCT label || id) AS n FROM nd WHERE label IN ('Manual', 'Note') UNION ALL SELECT 'edges', CAST(42 AS BIGINT)",
         "graph_constraint_breaches": "SELECT 'ParameterType' AS label, p_name AS value, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1",
-        "guard_verdicts": "SELECT name, kind, kind IN ('select', 'with') AS allowed FROM (SELECT DISTINCT p_type AS name FROM part) CROSS JOIN (VALUES ('select'), ('write'), ('two'), ('hidden'), ('with')) k(kind)",
-        "check_report": "SELECT CAST(6 AS BIGINT) AS total_checks, CAST(6 AS BIGINT) AS passed_checks, CAST(0 AS BIGINT) AS failed_checks, true AS passed",
+        "guard_verdicts": f"SELECT name, kind, allowed FROM (SELECT DISTINCT p_type AS name FROM part) CROSS JOIN (VALUES {', '.join(f'({S.q(k)}, {str(ok).lower()})' for k, _, ok in FORMS)}) k(kind, allowed)",
+        "schema_checks": """SELECT * FROM (VALUES ('parameter_type_vocabulary', true, NULL), ('unit_vocabulary', false, 'rows differ'), ('equipment_type_vocabulary', true, NULL), ('allowed_units', true, NULL),
+            ('required_parameters', true, NULL), ('relationship_definitions', false, 'rows differ')) t(check_id, passed, problem)""",
+        "check_report": "SELECT CAST(6 AS BIGINT) AS total_checks, CAST(passed AS BIGINT) AS passed_checks, CAST(6 - passed AS BIGINT) AS failed_checks, passed = 6 AS passed, expectations FROM (VALUES (6, 'right'), (4, 'two wrong')) t(passed, expectations)",
     }
     for s in compare.STRATEGIES:
         chosen = f"{both}, {S.selected(s)}"

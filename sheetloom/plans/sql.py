@@ -242,7 +242,10 @@ VIOLATIONS = f"""WITH {DOCS}, v AS (
     SELECT document_id, 'V3' AS rule_id, id AS subject_id, 'Duplicate node IDs found: ' || id AS message FROM nd GROUP BY document_id, id HAVING count(*) > 1
     UNION ALL SELECT document_id, 'V4', source, 'Relationship source ''' || source || ''' does not exist in nodes.' FROM rl WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.document_id = rl.document_id AND ids.id = rl.source)
     UNION ALL SELECT document_id, 'V4', target, 'Relationship target ''' || target || ''' does not exist in nodes.' FROM rl WHERE target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.document_id = rl.document_id AND ids.id = rl.target)
-    UNION ALL SELECT document_id, 'V5', document_id, 'document_id must match the id of a node with label ''Datasheet''.' FROM docs WHERE s_suppkey % 7 = 3
+    UNION ALL SELECT document_id, 'V1', id, 'Node ids and labels must not be empty.' FROM nd WHERE id = chr(9)
+    UNION ALL SELECT document_id, 'V1', document_id, 'document_id and schema_version must not be empty.' FROM docs WHERE schema_version = chr(9)
+    UNION ALL SELECT document_id, 'V2', source, 'Each relationship must define exactly one of ''target'' or ''target_ref''.' FROM rl WHERE (target IS NULL) = (label IS NULL)
+    UNION ALL SELECT document_id, 'V5', document_id, 'document_id must match the id of a node with label ''Datasheet''.' FROM docs WHERE s_suppkey % 7 = 3 OR s_suppkey < 0
     UNION ALL SELECT document_id, 'V6', extraction_scope, 'Unknown extraction_scope.' FROM docs WHERE s_suppkey % 11 = 5
     UNION ALL SELECT document_id, 'V8', source, 'Duplicate relationship found: source=' || source || ', type=' || type || ', target=' || tgt FROM (
         SELECT *, row_number() OVER (PARTITION BY document_id, source, type, tgt ORDER BY k) AS turn FROM (SELECT *, CASE WHEN target IS NOT NULL THEN 'target:' || target ELSE 'target_ref:' || label || ':' || refkey || ':' || value END AS tgt FROM rl)) WHERE turn > 1
