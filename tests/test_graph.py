@@ -157,7 +157,7 @@ def test_identifiers(spark, tmp_path):
     assert sorted((r.kind, r.name) for r in graph.bad_identifiers(rels, nodes).collect()) == [("label", "Extraction Run"), ("relationship", "describes")]
 
 
-@pytest.mark.parametrize("query,ok", [("SELECT 1", True), ("-- note\nwith a as (select 1) select * from a;", True), ("-- only", False), ("SELECT 'drop'", False), ("SELECT 1; SELECT 2", False), ("UPDATE t SET a = 1", False), ("EXPLAIN SELECT 1", False), ("SELECTED", False)])
+@pytest.mark.parametrize("query,ok", [("SELECT 1", True), ("-- note\nwith a as (select 1) select * from a;", True), ("-- only", False), ("SELECT 'drop'", False), ("SELECT 1; SELECT 2", False), ("UPDATE t SET a = 1", False), ("EXPLAIN SELECT 1", False), ("SELECTED", False), ("/* a; */ SELECT replace(a, 'x', 'y') FROM t", True), ("SELECT reflect('java.lang.System', 'exit')", False), ("SELECT * FROM parquet.`/any`", False), ("SELECT * FROM t JOIN csv.`/any` u ON true", False), ("SELECT * FROM a.t", False), ("SELECT * FROM t, a.u", False), ("WITH a (x) AS (SELECT 1) SELECT count(x) FROM a WHERE x IN (1, 2)", True), ("SELECT t.a, u.b FROM t JOIN u ON t.a = u.b", True)])
 def test_guard(query, ok):
     assert (checks.read_only_problem(query) is None) == ok
 
