@@ -90,7 +90,8 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     are learned. The sample bounds the tables, which are broadcast; over 500 languages raise. Every text is predicted whole.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    numbers = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # languages are few
+    # rows that repeat key and text have one hash; the number of hashes only sets how many rows are ranked; languages are few
+    numbers = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if len(numbers) > 500:
         raise ValueError("over 500 languages do not fit the model's tables")
     if not numbers:
