@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,26 @@ def score(spark: SparkSession, a) -> None:
     scores.orderBy(F.desc("score"), "page_number").select("source_file", "page_number", "score", "relevance_level").show(20)
 
 
+def called(name: str):
+    """The callable that `module:name` names."""
+    module, _, inner = name.partition(":")
+    return getattr(importlib.import_module(module), inner)
+
+
+def score_model(spark: SparkSession, a) -> None:
+    """Page scores by a model: a callable named as module:name, from a page's text to a mapping, importable on every executor."""
+    scores = scoring.score_with(pages.read_json(spark, a.input, a.lines), called(a.scorer), a.model)
+    put(sinks.score_document(scores, "llm_based_v1", a.model), a.output)
+
+
 def compared(spark: SparkSession, a) -> None:
     rule = pages.read_nested(spark, a.rule, pages.RULE_SCORES, a.lines)
     if not a.llm:  # rule scores alone
         return put(sinks.score_document(rule, "rule_based_v1"), a.output)
-    found = compare.checked_comparison(rule, pages.read_nested(spark, a.llm, pages.MODEL_SCORES, a.lines))
-    put(sinks.comparison_document(found, compare.comparison_summary(found)), a.output)
+    model = compare.paired(rule, pages.read_nested(spark, a.llm, pages.MODEL_SCORES, a.lines))
+    found = compare.checked_comparison(rule, model)
+    files = model.select("source_file", "llm_source_file").distinct()
+    put(sinks.comparison_document(found, compare.comparison_summary(found, files)), a.output)
 
 
 def select(spark: SparkSession, a) -> None:
@@ -103,23 +118,45 @@ def load(spark: SparkSession, a) -> None:
     graph.edge_counts(edges).show()
 
 
-def check(spark: SparkSession, a) -> None:
-    """Targets against expected results, by the registered SQL texts."""
+def goals_of(spark: SparkSession, a):
+    """The targets, their expected rows, and what brings an answer into the form of those; the views are registered."""
     wanted, goals = targets.load_expected(a.expected), targets.load_targets(a.targets)
     goals = goals[:1] if a.first else goals
     if a.kind == "schema":
         g = graph.Views.of(*graph.control(spark))
-        expected = {t["expected_result_key"]: checks.expected_rows(spark, t["check_id"], wanted[t["expected_result_key"]]) for t in goals}
-        answer = lambda t: checks.normalised(t["check_id"], checks.run_read_only(spark, question_texts.TEXTS[t["check_id"]]))
+        of = lambda t, rows: checks.expected_rows(spark, t["check_id"], rows)
+        shape = lambda t, rows: checks.normalised(t["check_id"], rows)
     else:
         g = loaded(spark, a.input)[0]
-        expected = {t["expected_result_key"]: expected_answers(spark, t["check_id"], g, wanted[t["expected_result_key"]]) for t in goals}
-        answer = lambda t: checks.run_read_only(spark, question_texts.TEXTS[t["check_id"]])
+        of = lambda t, rows: expected_answers(spark, t["check_id"], g, rows)
+        shape = lambda t, rows: rows
     question_texts.register(g)
-    found = checks.run_checks(spark, goals, expected, answer)
+    return goals, {t["expected_result_key"]: of(t, wanted[t["expected_result_key"]]) for t in goals}, shape
+
+
+def check(spark: SparkSession, a) -> None:
+    """Targets against expected results, by the registered SQL texts."""
+    goals, expected, shape = goals_of(spark, a)
+    found = checks.run_checks(spark, goals, expected, lambda t: shape(t, checks.run_read_only(spark, question_texts.TEXTS[t["check_id"]])))
     put(sinks.check_report(found, checks.rolled_up(found), f"{a.kind}_validation"), a.output)
 
 
+def propose(spark: SparkSession, a) -> None:
+    """Queries that a generator, a callable named as module:name, proposes for the targets."""
+    generate, goals = called(a.generator), targets.load_targets(a.targets)
+    found = [generate(t) for t in (goals[:1] if a.first else goals)]
+    put(spark.createDataFrame([(c.check_id, c.query, c.explanation) for c in found], "check_id string, query string, explanation string"), a.output)
+
+
+def replay(spark: SparkSession, a) -> None:
+    """Proposed queries against expected results; a target without a proposal fails."""
+    goals, expected, shape = goals_of(spark, a)
+    proposed = spark.read.json(a.candidates, schema="check_id string, query string, explanation string").collect()  # one for each target
+    by_check = {r.check_id: checks.Candidate(*r) for r in proposed}
+    found = checks.replay(spark, goals, expected, lambda t: by_check[t["check_id"]], shape)
+    put(sinks.check_report(found, checks.rolled_up(found), f"{a.kind}_candidate_validation"), a.output)
+
+
 def expected_answers(spark: SparkSession, check_id: str, g: graph.Views, rows: list[dict]) -> DataFrame:
     """Expected rows in the columns and types of the question; values are canonical text."""
     schema = questions.CQS[check_id](g).schema
@@ -135,7 +172,7 @@ def main(arguments: list[str]) -> None:
     def command(name: str, run, *options: str):
         one = commands.add_parser(name, help=run.__doc__)
         for o in options:
-            one.add_argument(f"--{o}", required=o in ("rule", "expected", "targets"))
+            one.add_argument(f"--{o}", required=o in ("rule", "expected", "targets", "scorer", "generator", "candidates"))
         if "input" in options or "rule" in options:
             one.add_argument("--lines", action="store_true", help="one JSON document per line")
         one.add_argument("--output", help="folder for JSON or parquet; shown if left out")
@@ -144,14 +181,16 @@ def main(arguments: list[str]) -> None:
 
     command("extract", extract, "input")
     command("score", score, "input")
+    command("score-model", score_model, "input", "scorer").add_argument("--model", default="recorded", help="name that the scores carry")
     command("compare", compared, "rule", "llm")
     command("select", select, "input").add_argument("--strategy", default="hybrid")
     command("layout", lay_out, "input").add_argument("--backend", choices=list(layout.BACKENDS), default="pypdf")
     command("validate", validate, "input")
     command("load", load, "input", "standing").add_argument("--clear", action="store_true", help="extracted nodes and edges of the standing graph go first")
-    one = command("check", check, "input", "targets", "expected")
-    one.add_argument("--kind", choices=["schema", "cq"], default="cq")
-    one.add_argument("--first", action="store_true", help="only the first target")
+    for one in (command("check", check, "input", "targets", "expected"), command("replay", replay, "input", "targets", "expected", "candidates")):
+        one.add_argument("--kind", choices=["schema", "cq"], default="cq")
+        one.add_argument("--first", action="store_true", help="only the first target")
+    command("propose", propose, "targets", "generator").add_argument("--first", action="store_true", help="only the first target")
     args = top.parse_args(arguments)
     args.run(session(), args)
 

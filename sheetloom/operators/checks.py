@@ -138,16 +138,16 @@ def run_checks(spark: SparkSession, targets: Iterable[dict], expected: dict[str,
     return spark.createDataFrame(rows, CHECK)
 
 
-def replay(spark: SparkSession, targets: Iterable[dict], expected: dict[str, DataFrame], generate: Callable[[dict], Candidate]) -> DataFrame:
+def replay(spark: SparkSession, targets: Iterable[dict], expected: dict[str, DataFrame], generate: Callable[[dict], Candidate], shape: Callable[[dict, DataFrame], DataFrame] = lambda t, rows: rows) -> DataFrame:
     """As `run_checks`, with queries from a generator: the id must match, the guard must pass, the rows must be equal; any
-    exception fails the check and the next one goes on."""
+    exception fails the check and the next one goes on. `shape` brings a target's rows into the form of the expected ones."""
     rows = []
     for t in targets:
         try:
             c = generate(t)
             if c.check_id != t["check_id"]:
                 raise ValueError(f"the candidate is for check {c.check_id!r}")
-            ok = same_rows(run_read_only(spark, c.query), expected[t["expected_result_key"]])
+            ok = same_rows(shape(t, run_read_only(spark, c.query)), expected[t["expected_result_key"]])
             rows.append((t["check_id"], ok, None if ok else "rows differ"))
         except Exception as e:  # whatever a proposed query does is its failure
             rows.append((t["check_id"], False, f"{type(e).__name__}: {str(e)[:200]}"))

@@ -67,16 +67,28 @@ def checked_comparison(rule: DataFrame, llm: DataFrame) -> DataFrame:
     return compare_scores(rule, llm)
 
 
+def paired(rule: DataFrame, llm: DataFrame) -> DataFrame:
+    """`llm` with its file's name as llm_source_file. Where each side holds one file and the names differ, its pages go under
+    the rule-based name, so that two scores of one document meet; of several files, those of equal names meet."""
+    one = lambda scores: scores.select("source_file").distinct().limit(2).collect()
+    own = llm.withColumn("llm_source_file", F.col("source_file"))
+    a, b = one(rule), one(llm)
+    return own.withColumn("source_file", F.lit(a[0].source_file)) if len(a) == len(b) == 1 else own
+
+
 def pages_where(condition: Column) -> Column:
     """Ascending page numbers where `condition` holds."""
     return F.sort_array(F.collect_list(F.when(condition, F.col("page_number"))))
 
 
-def comparison_summary(compared: DataFrame) -> DataFrame:
-    """One row per source file: counts of (dis)agreement and the page lists."""
+def comparison_summary(compared: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per source file: counts of (dis)agreement, the page lists, and whether both scorers named the file alike.
+
+    `files` (source_file, llm_source_file) has the model's name of each file; without it the names are the same.
+    """
     rule, llm = F.col("rule_based_selected"), F.col("llm_selected")
     level, selection = F.col("agreement_on_level"), F.col("agreement_on_selection")
-    return compared.groupBy("source_file").agg(
+    out = compared.groupBy("source_file").agg(
         F.count("*").alias("page_count"),
         F.count_if(level).alias("agreement_on_level_count"),
         F.count_if(selection).alias("agreement_on_selection_count"),
@@ -90,6 +102,9 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
         pages_where(rule & ~llm).alias("rule_only_selected_pages"),
         pages_where(llm & ~rule).alias("llm_only_selected_pages"),
     )
+    named = out.withColumn("llm_source_file", F.col("source_file")) if files is None else out.join(files, "source_file", "left")
+    same = F.col("source_file").eqNullSafe(F.col("llm_source_file"))
+    return named.withColumn("rule_based_source_file", F.col("source_file")).withColumn("same_source_file", same).withColumnRenamed("llm_source_file", "llm_based_source_file")
 
 
 def strategy_of(name: str) -> str:

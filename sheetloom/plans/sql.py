@@ -133,7 +133,8 @@ SUMMARY = f"""SELECT source_file, count(*) AS page_count, count(*) FILTER (WHERE
     count(*) FILTER (WHERE NOT agreement_on_level) AS disagreement_on_level_count, count(*) FILTER (WHERE NOT agreement_on_selection) AS disagreement_on_selection_count,
     {page_list('NOT agreement_on_level')} AS pages_with_level_disagreement, {page_list('NOT agreement_on_selection')} AS pages_with_selection_disagreement,
     {page_list('rule_based_selected')} AS rule_based_selected_pages, {page_list('llm_selected')} AS llm_based_selected_pages, {page_list('rule_based_selected AND llm_selected')} AS intersection_selected_pages,
-    {page_list('rule_based_selected AND NOT llm_selected')} AS rule_only_selected_pages, {page_list('llm_selected AND NOT rule_based_selected')} AS llm_only_selected_pages FROM c GROUP BY source_file"""
+    {page_list('rule_based_selected AND NOT llm_selected')} AS rule_only_selected_pages, {page_list('llm_selected AND NOT rule_based_selected')} AS llm_only_selected_pages,
+    source_file AS rule_based_source_file, source_file AS llm_based_source_file, true AS same_source_file FROM c GROUP BY source_file"""
 
 SELECTED = {
     "union": ("'selected'", "'selected'", "'Selected because both scorers selected this page.'", "'Selected because the rule-based scorer selected this page.'", "'Selected because the LLM-based scorer selected this page.'"),

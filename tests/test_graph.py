@@ -243,6 +243,43 @@ def test_commands(spark, tmp_path, capsys):
     assert spark.read.json(f"{t}/selected").first().summary.page_count == 1
 
 
+def propose(target):
+    """Stands for a query generator: the registered text of one check, a writing statement for any other."""
+    from sheetloom.operators import checks, question_texts
+
+    good = target["check_id"] == "unit_vocabulary"
+    return checks.Candidate(target["check_id"], question_texts.TEXTS[target["check_id"]] if good else "DROP TABLE unit")
+
+
+def test_commands_with_injected_callables(spark, tmp_path):
+    from sheetloom import __main__ as cli
+    from sheetloom.plans.registry import EXPECTED_STATE
+
+    t = str(tmp_path)
+    made = {"source_file": "f", "page_count": 1, "pages": [{"page_number": 1, "text": "FEATURES\nof it", "char_count": 14}]}
+    (tmp_path / "p.json").write_text(json.dumps(made))
+    (tmp_path / "q.json").write_text(json.dumps(made | {"source_file": "other"}))
+    cli.main(["score", "--input", f"{t}/p.json", "--output", f"{t}/rule"])
+    cli.main(["score-model", "--input", f"{t}/q.json", "--scorer", "sheetloom.plans.registry:scorer", "--model", "length", "--output", f"{t}/model"])
+    assert (found := spark.read.json(f"{t}/model").first()).llm_model == "length" and found.pages[0].score == 14
+    cli.main(["compare", "--rule", f"{t}/rule", "--llm", f"{t}/model", "--lines", "--output", f"{t}/compared"])
+    one = spark.read.json(f"{t}/compared").first().summary
+    assert (one.page_count, one.rule_based_source_file, one.llm_based_source_file, one.same_source_file) == (1, "f", "other", False)
+
+    (tmp_path / "e.json").write_text(json.dumps(EXPECTED_STATE))
+    goals = [{"check_id": c, "expected_result_key": k} for c, k in (("unit_vocabulary", "units"), ("equipment_type_vocabulary", "equipment_types"), ("allowed_units", "allowed_units"))]
+    (tmp_path / "t.json").write_text(json.dumps({"checks": goals[:2]}))
+    (tmp_path / "all.json").write_text(json.dumps({"checks": goals}))
+    cli.main(["propose", "--targets", f"{t}/t.json", "--generator", f"{__name__}:propose", "--output", f"{t}/candidates"])
+    cli.main(["replay", "--kind", "schema", "--targets", f"{t}/all.json", "--expected", f"{t}/e.json", "--candidates", f"{t}/candidates", "--output", f"{t}/report"])
+    report = spark.read.json(f"{t}/report").first()
+    assert not report.passed and {c.check_id: c.passed for c in report.checks} == {"unit_vocabulary": True, "equipment_type_vocabulary": False, "allowed_units": False}
+    cli.main(["replay", "--kind", "schema", "--first", "--targets", f"{t}/all.json", "--expected", f"{t}/e.json", "--candidates", f"{t}/candidates", "--output", f"{t}/first"])
+    assert spark.read.json(f"{t}/first").first().passed
+    cli.main(["check", "--kind", "schema", "--targets", f"{t}/all.json", "--expected", f"{t}/e.json", "--output", f"{t}/checked"])
+    assert spark.read.json(f"{t}/checked").first().passed
+
+
 def test_lookups_and_settings(spark, tmp_path, monkeypatch):
     from sheetloom.sources.settings import resolve
 
