@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,16 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def cased(c: Column) -> Column:
+    """Text as it is, in lower and in upper case."""
+    return F.struct(c.alias("text"), F.lower(c).alias("low"), F.upper(c).alias("up"))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 

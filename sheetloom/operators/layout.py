@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, block_id, contains_any, count_of, is_upper, lines, matches_any, raw_lines, strip
+from ..functions.text import any_of, block_id, cased, contains_any, count_of, is_upper, let, lines, matches_any, raw_lines, strip
 from ..plans import terms as T
 
 BBOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -28,8 +28,8 @@ def contained_heading(upper: Column) -> Column:
     return F.coalesce(*(F.when(upper.contains(h.upper()), F.lit(h)) for h in LONGEST_FIRST))
 
 
-def symbol_with_unit(text: Column) -> Column:
-    return F.upper(text).rlike("(?U)" + T.TABLE_SYMBOLS[0]) & text.rlike("(?iU)" + T.TABLE_UNITS[0])
+def symbol_with_unit(text: Column, upper: Column) -> Column:
+    return upper.rlike("(?U)" + T.TABLE_SYMBOLS[0]) & text.rlike("(?iU)" + T.TABLE_UNITS[0])
 
 
 def list_like(text: Column) -> Column:
@@ -42,8 +42,11 @@ def legal(text: Column, low: Column, otherwise: Column) -> Column:
 
 
 def line_type(text: Column, heading: Column) -> Column:
-    low, upper = F.lower(text), F.upper(text)
-    table = (count_of(upper, T.TABLE_CUES) >= 3) | symbol_with_unit(text)
+    return let(cased(text), lambda c: line_type_of(c["text"], c["low"], c["up"], heading))
+
+
+def line_type_of(text: Column, low: Column, upper: Column, heading: Column) -> Column:
+    table = (count_of(upper, T.TABLE_CUES) >= 3) | symbol_with_unit(text, upper)
     rest = (
         F.when(contains_any(low, T.PACKAGE_CUES) | F.upper(heading).isin(T.DIMENSION_HEADINGS), "package_drawing")
         .when(matches_any(text, T.LINE_FIGURES), "figure_or_graph")
@@ -56,8 +59,11 @@ def line_type(text: Column, heading: Column) -> Column:
 
 
 def markdown_type(text: Column, heading: Column) -> Column:
-    low, upper = F.lower(text), F.upper(text)
-    table = (text.contains("|") & text.contains("---")) | matches_any(text, T.TABLE_CAPTIONS) | (count_of(upper, T.TABLE_CUES) >= 3) | symbol_with_unit(text)
+    return let(cased(text), lambda c: markdown_type_of(c["text"], c["low"], c["up"], heading))
+
+
+def markdown_type_of(text: Column, low: Column, upper: Column, heading: Column) -> Column:
+    table = (text.contains("|") & text.contains("---")) | matches_any(text, T.TABLE_CAPTIONS) | (count_of(upper, T.TABLE_CUES) >= 3) | symbol_with_unit(text, upper)
     rest = (
         F.when(contains_any(low, T.PACKAGE_CUES) | F.upper(heading).isin(T.DIMENSION_HEADINGS), "package_drawing")
         .when(matches_any(text, T.LINE_FIGURES), "figure_or_graph")
@@ -74,7 +80,11 @@ LABELS = [(["title"], "title"), (["heading", "header", "section"], "heading"), (
 
 
 def element_type(text: Column, label: Column) -> Column:
-    low, upper, name = F.lower(text), F.upper(text), strip(F.lower(label))
+    both = F.struct(cased(text).alias("own"), strip(F.lower(label)).alias("name"))
+    return let(both, lambda c: element_type_of(c["own"]["text"], c["own"]["low"], c["own"]["up"], c["name"]))
+
+
+def element_type_of(text: Column, low: Column, upper: Column, name: Column) -> Column:
     table = (text.contains("|") & text.contains("---")) | matches_any(text, T.TABLE_CAPTIONS) | (count_of(upper, T.TABLE_CUES) >= 3)
     rest = (
         F.when(contains_any(low, T.ELEMENT_PACKAGE_CUES), "package_drawing")
@@ -110,11 +120,12 @@ def line_blocks(pages: DataFrame) -> DataFrame:
     A figure line is alone only if text runs before it, so in a run of figure lines alone and running alternate.
     """
     keys = ["source_file", "page_number"]
-    line = pages.select(*keys, F.posexplode_outer(lines(F.coalesce(F.col("text"), F.lit("")))).alias("at", "line"))
+    both = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.struct(x.alias("line"), F.upper(x).alias("up")))
+    line = pages.select(*keys, F.posexplode_outer(both).alias("at", "both")).select(*keys, "at", "both.line", "both.up")
     page = Window.partitionBy(*keys).orderBy("at")
     before = page.rowsBetween(Window.unboundedPreceding, -1)
     to_here = page.rowsBetween(Window.unboundedPreceding, 0)
-    upper = F.upper("line")
+    upper = F.col("up")
     line = line.withColumn("x", exact_heading(upper).isNotNull()).withColumn("c", F.when(F.col("x"), F.col("line")).otherwise(contained_heading(upper)))
     line = line.withColumn("f", F.coalesce(matches_any(F.col("line"), T.LINE_FIGURES), F.lit(False)))
     # contained headings set the running one unless they repeat it, exact ones always do; a repeat changes no later test
@@ -154,9 +165,9 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     raw = line.groupBy("source_file", "n").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("own"))
     raw = raw.select("source_file", F.col("n").alias("at"), F.array_join(F.transform("own", lambda r: r["line"]), "\n").alias("text"))
     page = F.regexp_extract("text", r"(?U)Rev\.\s*[\d.]+,\s*[\w-]+\s+(\d+)\s+Document Number", 1).try_cast("int")
-    title = F.upper(strip(F.ltrim(F.col("text"), F.lit("#"))))
+    title = let(F.upper(strip(F.ltrim(F.col("text"), F.lit("#")))), lambda t: F.coalesce(exact_heading(t), contained_heading(t)))
     raw = raw.withColumn("page_number", F.greatest(F.lit(1), F.max(page).over(to_here))).withColumn("reading_order", F.row_number().over(doc))
-    raw = raw.withColumn("section_heading", F.last(F.coalesce(exact_heading(title), contained_heading(title)), ignorenulls=True).over(to_here))
+    raw = raw.withColumn("section_heading", F.last(title, ignorenulls=True).over(to_here))
     raw = raw.withColumn("block_index", F.row_number().over(Window.partitionBy("source_file", "page_number").orderBy("reading_order")))
     meta = metadata(source="docling_markdown", source_file=F.col("source_file"), raw_markdown_block_index=F.col("reading_order"), confidence=F.lit(None).cast("double"))
     return finished(raw, markdown_type(F.col("text"), F.col("section_heading")), meta)
