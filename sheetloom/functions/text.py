@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as a regex class: the ASCII controls and every Unicode space that strip() removes.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space: the ASCII controls and every Unicode space that strip() removes.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -24,7 +24,8 @@ def cased(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends; only the ends are searched, however long the runs of spaces between."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:

@@ -16,6 +16,14 @@ def scored(spark, texts, **terms):
     return {r.page_number: r for r in scoring.score_pages(df, **terms).collect()}
 
 
+def test_strip_only_searches_the_ends(spark):
+    """Every white-space character at both ends, and a run of spaces inside that a search from each place would not finish."""
+    texts = [c + "a" + c + "b" + c for c in map(chr, range(1, 0x3100))] + ["", " ", "x" + " " * 300_000 + "y "]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", X.strip(F.col("s")).alias("t")).collect()}
+    assert got == {i: t.strip() for i, t in enumerate(texts)} | {-1: None}
+
+
 def test_strip_and_lines_like_python(spark):
     samples = ["\t a ", "　x y\x85", "a\r\nb\rc\n\nd", "", "\x1c\x1fz ", "é  "]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
