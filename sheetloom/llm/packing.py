@@ -31,7 +31,7 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_encoder(path: str, cache_size: int) -> Cache:
+def word_encoder(path: str, cache_size: int, cache_bytes: int | None = None) -> Cache:
     """Ids of white-space separated words as little-endian 32-bit bytes.
 
     The pre-tokenizer of these vocabularies drops white space and never joins across it, so a text's ids are those of its
@@ -72,7 +72,7 @@ def word_encoder(path: str, cache_size: int) -> Cache:
         found.update(zip(rest, each(rest), strict=True))
         return [found[w] if w in found else found[b] + signs[w[-1:]] for w, b in zip(words, bodies, strict=True)]
 
-    return Cache(encode, cache_size)
+    return Cache(encode, cache_size, room=cache_bytes)
 
 
 def letters(word: bytes) -> bool:
@@ -91,13 +91,14 @@ def binary_lengths(n: int, context: int) -> list[int]:
     return [context] * (n // context) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", context: int = 4096, end_id: int = 2, with_ids: bool = False, cache_size: int = 900_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", context: int = 4096, end_id: int = 2, with_ids: bool = False, cache_size: int = 900_000, cache_bytes: int | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids.
 
     A null or empty text is the end id alone. Every piece is one sequence, at offset 0. The high bits of `sequence_id` are
     the length's bucket, so sorting by it puts equal lengths together; below are the partition and a running number, which
     a task that is run again gives out alike. Nothing is shuffled. Repeated rows and null keys are packed like any others,
-    other columns are left out, and an empty table gives no pieces.
+    other columns are left out, and an empty table gives no pieces. A worker's cache of words has two generations of at most
+    `cache_size` entries and, if given, about `cache_bytes` each; no result depends on them.
     """
     if context & (context - 1):
         raise ValueError("the context length must be a power of two")
@@ -108,7 +109,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = kept(("packing", tokenizer_path, cache_size), lambda: word_encoder(tokenizer_path, cache_size))
+        cache = kept(("packing", tokenizer_path, cache_size, cache_bytes), lambda: word_encoder(tokenizer_path, cache_size, cache_bytes))
         end = end_id.to_bytes(4, "little")
         part_number, given = TaskContext.get().partitionId(), 0
         for batch in (part for whole in batches for part in pieces(whole, 1, 2 << 20)):

@@ -16,6 +16,9 @@ from .common import settle, small_side
 #: A text is rejected if its words on the mean speak for its best language with less than this share of the probability.
 LEAST_SCORE = 0.45
 
+#: Bytes of each of the two generations of a worker's cache in packing: some 190,000 usual words.
+PACKING_CACHE = 32 << 20
+
 
 def columns(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", "n_chars")
@@ -79,5 +82,6 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 4096 tokens. The cache is smaller than by default: other stages use the executors too."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_size=500_000)
+    """Training sequences of at most 4096 tokens. The cache is smaller than by default, and bounded in bytes: executors hold
+    what other stages have used too, and words may be long."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_size=500_000, cache_bytes=PACKING_CACHE)

@@ -3,7 +3,10 @@
 import collections
 import math
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -339,3 +342,49 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     for how in ("inner", "left"):
         found = common.spread_join(rows, side, ["k"], "n", how, whole=0)
         assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(side, "k", how).collect()))
+
+
+def test_packing_cache_keeps_its_bytes(spark):
+    path, room = public_tokenizers.path("word_bpe_49k.json"), 200_000
+    cache, plain = packing.word_encoder(path, 500_000, room), packing.word_encoder(path, 500_000)
+    for k, n in enumerate([300, 300, 300, 3000, 300]):  # long words; those of one call may be more than there is room for
+        words = [f"{i:x}".rjust(60, "q").encode() for i in range(200 * k, 200 * k + n)]
+        found, expected = cache.lookup(words), plain.lookup(words)
+        assert all(found[w] == expected[w] for w in words)
+        assert all(sum(len(w) + len(ids) for w, ids in x.items()) + 160 * len(x) <= room for x in (cache.young, cache.old))
+    table = docs(spark, [prose(k) for k in range(20)] + ["", None])
+    few, many = (sorted(map(str, packing.pack(table, path, with_ids=True, cache_bytes=b).drop("sequence_id").collect())) for b in (2000, None))
+    assert few == many
+
+
+def test_a_later_stage_gets_the_memory_of_an_earlier_one(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "release", lambda: freed.append(len(common._kept)))
+    monkeypatch.setattr(common, "_kept", {})
+    for key in ("language", "language", "packing", "packing"):
+        assert common.kept((key,), lambda key=key: [key]) == [key]
+    assert freed == [0, 0]  # once for each change, after the old one is gone
+    common.forget()
+    common.forget()
+    assert freed == [0, 0, 0] and not common._kept
+
+
+def test_freed_memory_goes_back_to_the_system():
+    code = """
+import re
+import numpy as np
+from sheetloom.llm import common
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +(\\d+)", f.read()))) / 1024
+
+parts = common.kept(("a",), lambda: [np.ones(8000) for _ in range(2000)])
+last = np.ones(8000)  # lies above, so the space of the others is not at the heap's end
+before = held()
+del parts
+common.forget()
+print(before - held())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) > 90  # of 122 MB
