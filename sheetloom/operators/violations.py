@@ -43,6 +43,12 @@ def checked(*conditions: tuple[Column, Column]) -> Column:
     return F.filter(F.array(*(F.when(c, v) for c, v in conditions)), lambda v: v.isNotNull())
 
 
+def held(*conditions: tuple[Column, Column]) -> Column:
+    """Whether any condition holds. Rows without a violation are left out by it before lists are made of the others, where
+    the planner can also tell it of whole parts of a union."""
+    return reduce(Column.__or__, (c for c, _ in conditions))
+
+
 def times(n: Column, violation: Column) -> Column:
     return F.when(n > 0, F.array_repeat(violation, n.cast("int"))).otherwise(F.array().cast(VIOLATION))
 
@@ -64,19 +70,19 @@ def of_nodes(nodes: DataFrame) -> DataFrame:
     given = F.col("raw") != "null"
     number = F.when(F.col("raw") == "true", 1.0).when(F.col("raw") == "false", 0.0).otherwise(F.col("raw").try_cast("double"))  # booleans count as numbers
     allowed = ", ".join(f"'{s}'" for s in STATUSES)
-    lists = [
-        checked(
-            (F.coalesce(bad, F.lit(True)), found("V1", "id", "Node ids and labels must not be empty.")),
-            (label("Evidence") & ~F.col("status").isin(STATUSES), found("V17", "id", f"Evidence node '%s' has invalid evidence_status '%s'. Allowed values: [{allowed}].", "id", "status")),
-            (label("Evidence") & given & number.isNull(), found("V18", "id", "Evidence node '%s' has non-numeric confidence.", "id")),
-            (label("Evidence") & given & ((number < 0) | (number > 1)), found("V18", "id", "Evidence node '%s' has confidence outside [0, 1].", "id")),
-        )
+    single = [
+        (F.coalesce(bad, F.lit(True)), found("V1", "id", "Node ids and labels must not be empty.")),
+        (label("Evidence") & ~F.col("status").isin(STATUSES), found("V17", "id", f"Evidence node '%s' has invalid evidence_status '%s'. Allowed values: [{allowed}].", "id", "status")),
+        (label("Evidence") & given & number.isNull(), found("V18", "id", "Evidence node '%s' has non-numeric confidence.", "id")),
+        (label("Evidence") & given & ((number < 0) | (number > 1)), found("V18", "id", "Evidence node '%s' has confidence outside [0, 1].", "id")),
     ]
+    lists, lacks = [checked(*single)], []
     for rule_id, name, wanted in NEEDED_PROPERTIES:
         words = "Evidence node '%s' is missing required property '%s'." if name == "Evidence" else "TechnicalParameter node '%s' is missing recommended MVP property '%s'."
         lacking = F.array_except(F.array(*map(F.lit, wanted)), F.map_keys("properties"))
         lists.append(F.when(label(name), F.transform(lacking, saying(rule_id, words))).otherwise(F.array().cast(VIOLATION)))
-    return spread(rows, *lists)
+        lacks.append((label(name) & (F.size(lacking) > 0), lacking))
+    return spread(rows.where(held(*single, *lacks)), *lists)
 
 
 def of_relationships(rels: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def of_relationships(rels: DataFrame) -> DataFrame:
         conditions.append((mine & ref.isNull(), found("V15", "source", "Relationship '%s' from '%s' should use target_ref instead of local target.", "type", "source")))
         wrong = found("V15", "source", f"Relationship '%s' from '%s' has invalid target_ref. Expected label/key ({label}, {key}), got (%s, %s).", "type", "source", ref["label"], ref["key"])
         conditions.append((mine & ((ref["label"] != label) | (ref["key"] != key)), wrong))
-    return spread(rels, checked(*conditions))
+    return spread(rels.where(held(*conditions)), checked(*conditions))
 
 
 def of_repeats(rels: DataFrame) -> DataFrame:
@@ -111,15 +117,15 @@ def of_identities(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     ends = rels.where("target is not null").select("document_id", F.col("target").alias("id"), none.alias("nodes"), none.alias("sources"), one.alias("targets"), *blanks(labels + kinds))
     known = facts.unionByName(starts).unionByName(ends).groupBy("document_id", "id").agg(*(F.sum(x).alias(x) for x in ("nodes", "sources", "targets", *labels, *kinds)))
     lost = F.col("nodes") == 0
-    lists = [
-        times((F.col("nodes") > 1).cast("int"), found("V3", "id", "Duplicate node IDs found: %s", "id")),
-        times(F.when(lost & F.col("id").isNotNull(), F.col("sources")).otherwise(none), found("V4", "id", "Relationship source '%s' does not exist in nodes.", "id")),
-        times(F.when(lost, F.col("targets")).otherwise(none), found("V4", "id", "Relationship target '%s' does not exist in nodes.", "id")),
+    counted = [
+        ((F.col("nodes") > 1).cast("int"), found("V3", "id", "Duplicate node IDs found: %s", "id")),
+        (F.when(lost & F.col("id").isNotNull(), F.col("sources")).otherwise(none), found("V4", "id", "Relationship source '%s' does not exist in nodes.", "id")),
+        (F.when(lost, F.col("targets")).otherwise(none), found("V4", "id", "Relationship target '%s' does not exist in nodes.", "id")),
     ]
     for rule_id, label, kind in NEEDED_EDGES:
         prefix = f"{label} node '%s'" if label != "TechnicalParameter" else f"{label} '%s'"
-        lists.append(times(F.when(F.col(kind) == 0, F.col(label)).otherwise(none), found(rule_id, "id", f"{prefix} has no {kind} relationship.", "id")))
-    return spread(known, *lists)
+        counted.append((F.when(F.col(kind) == 0, F.col(label)).otherwise(none), found(rule_id, "id", f"{prefix} has no {kind} relationship.", "id")))
+    return spread(known.where(held(*((n > 0, v) for n, v in counted))), *(times(*x) for x in counted))
 
 
 def totals(documents: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:

@@ -83,6 +83,11 @@ def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.page_mismatches(own_scores(spark, sf_dir), recorded_scores(spark, sf_dir))
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows as they are, the document's identifier without its metadata."""
+    return rows.withColumn("document_id", D.apart("document_id"))
+
+
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The control graph with the extraction documents' nodes and edges merged in."""
     _, nodes, rels = D.extraction_documents(spark, sf_dir)
@@ -215,9 +220,9 @@ def queries() -> dict[str, Query]:
         "layout_markdown": lambda spark, sf_dir: layout.markdown_blocks(markdown(spark, sf_dir)).select(*NO_META),
         "layout_elements": lambda spark, sf_dir: flat_boxes(layout.element_blocks(raw_layout(spark, sf_dir))),
         "layout_block_counts": lambda spark, sf_dir: layout.block_counts(layout.line_blocks(chats(spark, sf_dir))),
-        "graph_violations": lambda spark, sf_dir: violations.violations(*D.extraction_documents(spark, sf_dir)),
-        "graph_report": lambda spark, sf_dir: violations.report(*D.extraction_documents(spark, sf_dir)),
-        "graph_loading_summary": lambda spark, sf_dir: graph.loading_summary(*D.extraction_documents(spark, sf_dir)[1:]),
+        "graph_violations": lambda spark, sf_dir: by_document(violations.violations(*D.extraction_documents(spark, sf_dir))),
+        "graph_report": lambda spark, sf_dir: by_document(violations.report(*D.extraction_documents(spark, sf_dir))),
+        "graph_loading_summary": lambda spark, sf_dir: by_document(graph.loading_summary(*D.extraction_documents(spark, sf_dir)[1:])),
         "graph_label_counts": label_counts,
         "graph_edge_counts": edge_counts,
         "graph_reference_errors": reference_errors,
