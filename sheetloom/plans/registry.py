@@ -96,12 +96,19 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def merged_tables(spark: SparkSession, nodes: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     start, links = graph.control(spark)
-    all_nodes = graph.upsert_nodes(start, nodes.select("labels", "id", "properties", F.lit(0).cast("long").alias("turn")))
-    named = rels.withColumn("properties", F.create_map().cast("map<string,string>")).withColumn("turn", F.col("rel_ord"))
-    edges, errors = graph.upsert_edges(all_nodes, links, named.select("source", "type", "target", "target_ref", "properties", "turn"))
+    all_nodes = graph.upsert_nodes(start, new_nodes(nodes))
+    edges, errors = graph.upsert_edges(all_nodes, links, new_edges(rels))
     return all_nodes, edges, errors
 
 
+def new_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("labels", "id", "properties", F.lit(0).cast("long").alias("turn"))
+
+
+def new_edges(rels: DataFrame) -> DataFrame:
+    return rels.select("source", "type", "target", "target_ref", F.create_map().cast("map<string,string>").alias("properties"), F.col("rel_ord").alias("turn"))
+
+
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.label_counts(graph_tables(spark, sf_dir)[0])
 
@@ -116,8 +123,9 @@ def reference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph.clear_instances(*graph_tables(spark, sf_dir))
-    n = nodes.agg(F.lit("nodes").alias("kind"), F.count("*").alias("n"))
+    _, nodes, rels = D.extraction_documents(spark, sf_dir)
+    left, edges = graph.upsert_cleared(*graph.control(spark), new_nodes(nodes), new_edges(rels))
+    n = left.agg(F.lit("nodes").alias("kind"), F.count("*").alias("n"))
     return n.unionByName(edges.agg(F.lit("edges").alias("kind"), F.count("*").alias("n")))
 
 

@@ -288,3 +288,21 @@ def test_lookups_and_settings(spark, tmp_path, monkeypatch):
     assert tuple(graph.loading_summary(nodes, rels).first()) == ("sheet", 7, 7, 4)
     monkeypatch.setenv("SHEETLOOM_MODEL", " m ")
     assert (resolve("given", "model", "d"), resolve(None, "model", "d"), resolve("", "other", "d")) == ("given", "m", "d")
+
+
+def strangers(spark, tmp_path):
+    """Two documents: the second one speaks of a parameter of the first one, of one that is nowhere and of a lost unit."""
+    second = {"schema_version": "1", "document_id": "more", "extraction_scope": "human_reviewed", "nodes": [{"id": "more", "labels": ["Manual"], "properties": {}}, {"id": "q", "labels": ["Note"], "properties": {}}], "relationships": [
+        {"source": s, "type": "HAS_UNIT", "target_ref": {"label": "Unit", "key": "symbol", "value": v}, "properties": {}} for s, v in (("p1", "nm"), ("nowhere", "nm"), ("q", "furlong"), ("q", "mm"))
+    ] + [{"source": "more", "type": "ABOUT", "target": t, "properties": {}} for t in ("q", "p1", "nowhere")]}
+    one, two = parts(spark, tmp_path, sensor()), parts(spark, tmp_path, second, "e")
+    return tuple(a.unionByName(b) for a, b in zip(one[1:], two[1:], strict=True))
+
+
+def test_clearing_before_the_merge_leaves_what_clearing_after_it_does(spark, tmp_path):
+    nodes, rels = strangers(spark, tmp_path)
+    kept, edges = graph.upsert_cleared(*graph.control(spark), registry.new_nodes(nodes), registry.new_edges(rels))
+    after = graph.clear_instances(*registry.merged_tables(spark, nodes, rels)[:2])
+    assert (kept.count(), edges.count()) == (39 + 2, 42 + 2)
+    assert sorted(r.key for r in kept.collect()) == sorted(r.key for r in after[0].collect())
+    assert sorted((r.src, r.type, r.dst) for r in edges.collect()) == sorted((r.src, r.type, r.dst) for r in after[1].collect())
