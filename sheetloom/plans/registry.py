@@ -119,7 +119,7 @@ def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, nodes, rels = D.extraction_documents(spark, sf_dir)
-    return merged_tables(spark, nodes, rels)[2]
+    return graph.reference_errors(graph.control(spark)[0], nodes.withColumn("turn", F.lit(0).cast("long")), rels)
 
 
 def cleared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

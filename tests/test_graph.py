@@ -299,6 +299,13 @@ def strangers(spark, tmp_path):
     return tuple(a.unionByName(b) for a, b in zip(one[1:], two[1:], strict=True))
 
 
+def test_reference_errors_alone_are_those_of_the_upsert(spark, tmp_path):
+    nodes, rels = strangers(spark, tmp_path)
+    alone = graph.reference_errors(graph.control(spark)[0], nodes.withColumn("turn", F.lit(0).cast("long")), rels)
+    assert sorted((r.source, r.message.split("value=")[1]) for r in alone.collect()) == [("nowhere", '"nm"'), ("q", '"furlong"')]
+    assert checks.same_rows(alone, registry.merged_tables(spark, nodes, rels)[2])
+
+
 def test_clearing_before_the_merge_leaves_what_clearing_after_it_does(spark, tmp_path):
     nodes, rels = strangers(spark, tmp_path)
     kept, edges = graph.upsert_cleared(*graph.control(spark), registry.new_nodes(nodes), registry.new_edges(rels))
